@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, toxicity
+from . import decontaminate, mixing, pii, quality, simhash, toxicity
 from .common import crc_fold, table
 
 
@@ -16,6 +16,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", crc_fold() == 0)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the span classifier learns from the votes over all of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learned from the labelled rows of folds 1 to 4."""
     docs = table(spark, sf_dir, "documents")
@@ -42,7 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op5_quality, op7_simhash, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op5_quality, op7_simhash, op9_mixing, op10_decontamination)}
 
 
 OP9_SQL = """
