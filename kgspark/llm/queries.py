@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, simhash, toxicity
+from . import decontaminate, mixing, pii, quality, rules, secrets, simhash, toxicity, urls
 from .common import crc_fold, table
 
 
@@ -23,6 +23,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; the decision list learns from the labelled rows of folds 1 to 4."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"), train_on=crc_fold() != 0))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; the score limits come from the tokens and natural text of all of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learned from the labelled rows of folds 1 to 4."""
     docs = table(spark, sf_dir, "documents")
@@ -35,6 +48,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, d=4)
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; urls under no rule are judged by the model."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.fit(urls.training_urls(spark)))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     m = mixing.mix(table(spark, sf_dir, "documents"))
@@ -49,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op5_quality, op7_simhash, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op7_simhash, op8_urls, op9_mixing, op10_decontamination)}
 
 
 OP9_SQL = """
