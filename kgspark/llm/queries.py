@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, rules, secrets, simhash, toxicity, urls
+from . import decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls
 from .common import crc_fold, table
 
 
@@ -43,6 +43,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words without those in 13-word windows that a document with a smaller id holds too."""
+    found = substring.remove_duplicates(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document: 4-word shingles, at most 4 bits apart."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, d=4)
@@ -67,8 +73,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op7_simhash, op8_urls, op9_mixing, op10_decontamination)}
-
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op6_substring, op7_simhash, op8_urls, op9_mixing, op10_decontamination)}
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win
+         FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 11 AS BIGINT))) AS i FROM d WHERE len(w) >= 13)),
+first AS (SELECT win, min(doc_id) AS f FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM wins JOIN first USING (win) WHERE doc_id > f),
+gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone.n, 0) AS n_removed,
+       sha256(CASE WHEN gone.n IS NULL THEN array_to_string(w, ' ')
+              ELSE coalesce((SELECT string_agg(x.word, ' ' ORDER BY x.p) FROM (SELECT unnest(d.w) AS word, unnest(range(1, len(d.w) + 1)) AS p) x
+                             WHERE NOT list_contains(gone.ps, x.p)), '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
 
 OP9_SQL = """
 WITH d AS (
@@ -120,4 +140,4 @@ FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_substring": OP6_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
