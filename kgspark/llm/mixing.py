@@ -62,8 +62,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     buckets = d.groupBy("source", "size", "h2").agg(F.count("*").alias("n"))
     sources = buckets.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     t = targets(sources).withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    before = W.partitionBy("source").orderBy("size", "h2").rowsBetween(W.unboundedPreceding, -1)
-    base = buckets.select("source", "size", "h2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # running counts first over a source's sizes, then over a size's buckets: each window sees a bounded table
+    sizes = buckets.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    lower = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("source").alias("s1"), F.col("size").alias("z1"), F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("under"))
+    before = W.partitionBy("source", "size").orderBy("h2").rowsBetween(W.unboundedPreceding, -1)
+    base = buckets.select("source", "size", "h2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("within"))
+    base = base.join(sizes, base["source"].eqNullSafe(sizes["s1"]) & (base["size"] == sizes["z1"])).select("source", "size", "h2", (F.col("under") + F.col("within")).alias("base"))
     base = base.join(t, base["source"].eqNullSafe(t["source"])).select(base["source"].alias("s"), F.col("size").alias("z"), F.col("h2").alias("g"), "base", "source_size", "target", "r")
     inside = W.partitionBy("source", "size", "h2").orderBy("h", "mix_id")
     ranked = d.select("mix_id", "source", "size", "h2", F.row_number().over(inside).alias("k"))
