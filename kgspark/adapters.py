@@ -6,6 +6,10 @@ they are registered, `frame` runs it over the parquet files of a folder.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 E = """SELECT p_partkey AS id, replace(p_name,' ','-') AS slug, p_name AS title, split(p_name,' ') AS formats,
@@ -56,16 +60,33 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in TABLES:
         if f" {t}" in sql:
             used[f"{t}_t"] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    import re
-
     text = re.sub(r"\b(FROM|JOIN) (\w+)(?=\s|$)", lambda m: f"{m[1]} {{{m[2]}_t}} AS {m[2]}", sql)
     return spark.sql(text, **used)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder; in a temporary folder where the session names none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgspark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triple table with all its columns; types and languages of literals are constant here."""
-    t = frame(spark, sf_dir, "T")
-    return t.selectExpr("s", "p", "o", "o_kind", "CASE WHEN p = 'score' THEN 'xsd:integer' WHEN o_kind = 'literal' THEN 'xsd:string' END AS o_type", "CASE WHEN p = 'rdfs:label' THEN 'en' END AS o_lang")
+    """The triple table with all its columns, stored by predicate once per application and folder.
+
+    Graph operators scan it several times; stored by predicate, each pattern reads its own partition.
+    Types and languages of literals are constant here.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        t = frame(spark, sf_dir, "T")
+        t = t.selectExpr("s", "p", "o", "o_kind", "CASE WHEN p = 'score' THEN 'xsd:integer' WHEN o_kind = 'literal' THEN 'xsd:string' END AS o_type", "CASE WHEN p = 'rdfs:label' THEN 'en' END AS o_lang")
+        path = scratch(spark, "triples")
+        t.write.partitionBy("p").parquet(path)
+        _STORED[key] = path
+    return spark.read.schema("s string, o string, o_kind string, o_type string, o_lang string, p string").parquet(_STORED[key]).select("s", "p", "o", "o_kind", "o_type", "o_lang")
 
 
 def with_(*names: str) -> str:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import frame
+from ..adapters import frame, scratch
 from ..streaming import jobs
-from .pages import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..adapters import frame, with_
+from ..adapters import frame, scratch, with_
 from ..functions import extract as x
 from ..functions.scalars import slug_from_url
 from ..sources import files
@@ -29,12 +27,6 @@ CLEAN = r"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</scri
 STRIP = r"trim(regexp_replace(regexp_replace({}, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh path in the shared checkpoint folder, or in the warehouse where no such folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT page_id, i - 1 AS pos, 'https://example.org' || l[i] AS url FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all({CLEAN}, 'href=[\"'']([^\"'']+)[\"'']', 1) AS l FROM pages)) WHERE starts_with(l[i], '/t') AND len(string_split(l[i], '/')) >= 2")
 def b1_links(spark, sf):
     d = x.extract_links(frame(spark, sf, "pages"), "/t", "https://example.org", min_parts=2)

@@ -15,7 +15,7 @@ from ..plans.triples import TRIPLE
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
     """A1, A3: a JSON array of records, or one record per line; a byte-order mark is accepted. Missing fields are null."""
-    return spark.read.schema(schema).option("multiLine", multi_line).option("encoding", "UTF-8").json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def read_keyed(spark: SparkSession, path: str, value_schema: str, key: str = "key", digits: int = 4) -> DataFrame:
