@@ -29,18 +29,33 @@ from .common import stored, text_bytes
 _P = 0x9E3779B97F4A7C15
 
 
-class _Words(dict):
-    """Hash of each word, kept while the vocabulary is of bounded size."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        v = self[w] = xxhash.xxh3_64_intdigest(w)
-        return v
-
-
-def hashes(words: list[bytes], known: _Words) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)  # a fixed number for each byte
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, p, np.uint64)])) for p in (_P, pow(_P, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word. A word's hash is a polynomial in its bytes, from differences of one running sum."""
+    raw = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.uint64), start, end
+    up, down = _powers(len(raw))
+    run = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * up[: len(raw)])])
+    h = (run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32)), start, end
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -48,24 +63,33 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(_P) + h[j : j + n]
-        out ^= out >> np.uint64(29)
+    factors = _powers(k + 1)[0]
+    out = h[:n] * factors[1]
+    for j in range(1, k):
+        out += h[j : j + n] * factors[j + 1]
+    out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
+def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
+    """Least or greatest of every w neighbours, by doubling the width covered."""
+    width = 1
+    while 2 * width <= w:
+        x = pick(x[:-width], x[width:])
+        width *= 2
+    return pick(x[: len(x) - (w - width)], x[w - width :]) if width < w else x
+
+
 def anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the k-grams that are least in some window; all of several equal ones."""
     g = gram_hashes(h, k)
     w = window - k + 1
     if len(g) < w:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    least = np.lib.stride_tricks.sliding_window_view(g, w).min(axis=1)
-    pad = np.zeros(w - 1, np.uint64)
-    most = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, least, pad]), w).max(axis=1)
-    at = np.flatnonzero(most == g)
+    wide = np.zeros(len(g) + w - 1, np.uint64)
+    wide[w - 1 : len(g)] = sliding(g, w, np.minimum)
+    at = np.flatnonzero(sliding(wide, w, np.maximum) == g)
     return at, g[at]
 
 
@@ -107,6 +131,8 @@ class Block:
                 if best and (r + best >= len(self.words) or self.words[r + best] != words[i + best]):
                     continue  # cannot become longer than the best so far
                 m = 0
+                while words[i + m : i + m + 64] == self.words[r + m : r + m + 64] and i + m < n:
+                    m = min(m + 64, n - i)
                 while i + m < n and self.words[r + m] == words[i + m]:
                     m += 1
                 if m > best:
@@ -141,11 +167,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
 
     def find_anchors(batches):
-        known = _Words()
         for b in batches:
             ids, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g = np.unique(anchors(hashes(t.split(), known), window, k)[1])
+                g = np.unique(anchors(word_hashes(t)[0], window, k)[1])
                 ids.append(np.full(len(g), i, np.int64))
                 grams.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids))], names=["g", "id"])
@@ -155,17 +180,25 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = a.join(shared, "g").groupBy("id").agg(F.collect_list(F.struct("g", "first")).alias("held"))
 
     def cut(batches):
-        known = _Words()
         for b in batches:
             out: dict[str, list] = {n: [] for n in ("block", "key", "id", "start", "own", "words")}
-            for i, t, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = t.split()
-                at, g = anchors(hashes(words, known), window, k)
-                first = {x["g"]: x["first"] for x in held}
-                holder = [first.get(x) for x in g.view(np.int64).tolist()]
-                for f in dict.fromkeys(x for x in holder if x is not None):
-                    for x, y in stretches(at[[z == f for z in holder]], len(words), window, k):
-                        piece = b" ".join(words[x:y])
+            held = b.column(2)
+            ends, held = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten()
+            grams, firsts = held.field("g").to_numpy(), held.field("first").to_numpy()
+            for i, t, lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                h, first, last = word_hashes(t)
+                at, g = anchors(h, window, k)
+                order = np.argsort(grams[lo:hi])
+                mine, holder = grams[lo:hi][order], firsts[lo:hi][order]
+                where = np.minimum(np.searchsorted(mine, g.view(np.int64)), hi - lo - 1)
+                there = mine[where] == g.view(np.int64)
+                at, holder = at[there], holder[where[there]]
+                order = np.argsort(holder, kind="stable")
+                at, holder = at[order], holder[order]
+                cuts = np.flatnonzero(np.diff(holder)) + 1
+                for f, places in zip(holder[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts), strict=True):
+                    for x, y in stretches(places, len(h), window, k):
+                        piece = b" ".join(t[first[x] : last[y - 1]].split())
                         for name, v in zip(out, (f, xxhash.xxh3_64_intdigest(piece) - (1 << 63), i, x, f == i, piece), strict=True):
                             out[name].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
@@ -182,13 +215,13 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = dealt.unionByName(own).repartition("block", "part").sortWithinPartitions("block", "part", F.col("key").asc_nulls_first())
 
     def parse(batches):
-        known, now, block = _Words(), None, None
+        now, block = None, None
         for b in batches:
             out: dict[str, list] = {n: [] for n in ("block", "key", "id", "start", "found", "left")}
             for f, part, key, i, start, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if now != (f, part):
                     now, block = (f, part), Block(window, k)
-                h = hashes(words.split(), known)
+                h = word_hashes(words)[0]
                 g = gram_hashes(h, window)
                 if key is None:
                     block.add(h)
