@@ -72,6 +72,24 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def hashed(pieces: list[bytes], k: int, window: int, most: int = 1 << 22):
+    """For each piece (words joined by one space) the hashes of its words, k-grams and windows; pieces are hashed many at a time."""
+    at = 0
+    while at < len(pieces):
+        stop, size = at, 0
+        while stop < len(pieces) and (stop == at or size + len(pieces[stop]) < most):
+            size += len(pieces[stop]) + 1
+            stop += 1
+        h = word_hashes(b" ".join(pieces[at:stop]))[0]
+        grams, windows = gram_hashes(h, k), gram_hashes(h, window)
+        base = 0
+        for p in pieces[at:stop]:
+            n = p.count(b" ") + 1
+            yield h[base : base + n], grams[base : base + max(0, n - k + 1)], windows[base : base + max(0, n - window + 1)]
+            base += n
+        at = stop
+
+
 def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     """Least or greatest of every w neighbours, by doubling the width covered."""
     width = 1
@@ -114,17 +132,17 @@ class Block:
         self.at: dict[int, list[int]] = {}
         self.windows: set[int] = set()
 
-    def add(self, h: np.ndarray) -> None:
+    def add(self, h: np.ndarray, grams: np.ndarray, windows: np.ndarray) -> None:
         base = len(self.words)
-        for i, g in enumerate(gram_hashes(h, self.k).tolist()):
-            self.at.setdefault(g, []).append(base + i)
-        self.windows.update(gram_hashes(h, self.window).tolist())
+        for i, g in enumerate(grams.tolist(), base):
+            self.at.setdefault(g, []).append(i)
+        self.windows.update(windows.tolist())
         self.words += h.tolist()
         self.words.append(-1)  # factors do not run from one stretch into the next
 
-    def factors(self, h: np.ndarray) -> list[tuple[int, int]]:
+    def factors(self, h: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
         """Greedy parse: (start, length) of the longest factor at each step; length 1 where nothing matches."""
-        words, grams, out, i, n = h.tolist(), gram_hashes(h, self.k).tolist(), [], 0, len(h)
+        words, grams, out, i, n = h.tolist(), grams.tolist(), [], 0, len(h)
         while i < n:
             best = 0
             for r in self.at.get(grams[i], ()) if i < len(grams) else ():
@@ -143,19 +161,20 @@ class Block:
             i += max(best, 1)
         return out
 
-    def repeated(self, h: np.ndarray) -> np.ndarray:
+    def repeated(self, h: np.ndarray, grams: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """For each window of the stretch whether the block holds it: by factors, and by look-up at their boundaries."""
-        n = len(h) - self.window + 1
-        found = np.zeros(max(n, 0), bool)
-        if n <= 0:
+        n = len(windows)
+        found = np.zeros(n, bool)
+        if not n:
             return found
         edge = np.zeros(n, bool)
-        for i, m in self.factors(h):
+        for i, m in self.factors(h, grams):
             if m >= self.window:
                 found[i : i + m - self.window + 1] = True
             edge[max(0, i + m - self.window + 1) : min(n, i + m)] = True
         at = np.flatnonzero(edge & ~found)
-        found[at] = [g in self.windows for g in gram_hashes(h, self.window)[at].tolist()]
+        if len(at):
+            found[at] = [g in self.windows for g in windows[at].tolist()]
         return found
 
 
@@ -218,18 +237,17 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now, block = None, None
         for b in batches:
             out: dict[str, list] = {n: [] for n in ("block", "key", "id", "start", "found", "left")}
-            for f, part, key, i, start, words in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            columns = [c.to_pylist() for c in b.columns]
+            for f, part, key, i, start, (h, grams, g) in zip(*columns[:-1], hashed(columns[-1], k, window), strict=True):
                 if now != (f, part):
                     now, block = (f, part), Block(window, k)
-                h = word_hashes(words)[0]
-                g = gram_hashes(h, window)
                 if key is None:
-                    block.add(h)
+                    block.add(h, grams, g)
                     found = np.zeros(len(g), bool)
                     if part:
                         continue
                 else:
-                    found = block.repeated(h)
+                    found = block.repeated(h, grams, g)
                 for name, v in zip(out, (f, key, i, start, np.packbits(found).tobytes(), g[~found].tobytes()), strict=True):
                     out[name].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
