@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, mix.
 
 Each stage takes (spark, docs, sf_dir) and all that the stage before kept; all but the last return the
-columns of `documents`.
+columns of `documents`. Null texts count as empty; after the third stage they are empty. Repeated rows of an id
+are copies: the second stage keeps one of them. Rows without an id leave at the second stage. Extra columns are
+dropped, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each near-duplicate group."""
     found = simhash.near_duplicates(docs, shingle=4, d=4)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
