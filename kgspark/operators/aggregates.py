@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .filters import is_known
+from .order import numbered
 
 
 def count_by(df: DataFrame, *keys: str, out: str = "n") -> DataFrame:
@@ -98,7 +99,7 @@ def facet_values(df: DataFrame, array: str) -> DataFrame:
 def first_seen(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """distinct keys in the order in which they first occur, with the place from 1."""
     d = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("first_"))
-    return d.select(key, F.row_number().over(W.orderBy("first_", key)).alias("place"))
+    return numbered(d, ["first_", key]).select(key, "place")
 
 
 def differs_from_reference(df: DataFrame, group: str, order: str, column: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -93,11 +92,11 @@ def intersect_or_first(index: DataFrame, first: str, second: str, key: str = "no
     """Items of both index entries; those of the first where there are none. `index` is a long table (key, item)."""
     a = index.where(F.col(key) == first).select(item).distinct()
     b = index.where(F.col(key) == second).select(item).distinct()
-    both = a.join(b, item, "left_semi").withColumn("own_", F.lit(True))
-    every = a.join(both, item, "left")
-    n = F.count("own_").over(W.partitionBy(F.lit(0)))
-    # one flag per row tells whether any item is in both
-    return every.withColumn("n_", n).where((F.col("n_") == 0) | F.col("own_")).select(item)
+    both = a.join(b, item, "left_semi")
+    some = both.limit(1).agg((F.count("*") > 0).alias("some_"))
+    own = both.withColumn("own_", F.lit(True))
+    # one row tells whether any item is in both
+    return a.join(own, item, "left").crossJoin(F.broadcast(some)).where(~F.col("some_") | F.col("own_")).select(item)
 
 
 def external_ids(df: DataFrame, ids: DataFrame, label: str, out: str, local: Column) -> DataFrame:

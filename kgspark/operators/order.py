@@ -32,19 +32,24 @@ def running_stack(df: DataFrame, group: str, value: str, *ties: str) -> DataFram
     return df.withColumn("stack_end", F.sum(value).over(w)).withColumn("stack_start", F.col("stack_end") - F.col(value))
 
 
-def ranked(df: DataFrame, value: str, key: str, out: str = "rank") -> DataFrame:
-    """Global rank by value from the top (nulls last), then key.
+def numbered(df: DataFrame, order: Sequence, out: str = "place") -> DataFrame:
+    """All rows numbered from 1 in order.
 
     Rows are sorted by range over many tasks; each partition's rows are numbered after those of the
     partitions before it, whose counts are a table with one row per partition. No task sees all rows.
     """
-    d = df.sort(F.desc_nulls_last(value), key).withColumn("mid_", F.monotonically_increasing_id())
+    d = df.sort(*order).withColumn("mid_", F.monotonically_increasing_id())
     d = d.withColumn("part_", F.shiftright("mid_", 33)).withColumn("in_", F.col("mid_").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = d.groupBy("part_").agg(F.count("*").alias("n_"))
     before = sizes.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
     return d.join(F.broadcast(before), "part_").withColumn(out, (F.col("base_") + F.col("in_") + 1).cast("long")).drop("mid_", "part_", "in_", "base_")
 
 
+def ranked(df: DataFrame, value: str, key: str, out: str = "rank") -> DataFrame:
+    """Rank of all rows by value from the top (nulls last), then key."""
+    return numbered(df, [F.desc_nulls_last(value), key], out)
+
+
 def tiers(df: DataFrame, value: str, key: str, first: int = 200, second: int = 500) -> DataFrame:
     """Tier 1 for the first `first` rows by value, 2 for the next `second`, 3 for the rest, 4 without a value.
 

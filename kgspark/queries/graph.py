@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import frame, triples, with_
-from ..functions.scalars import local_name
+from ..functions.scalars import local_name_for
 from ..plans import match as m
 from ..plans import reports as r
 from ..plans import subset as sub
@@ -73,6 +73,12 @@ def k4_all_classes(spark, sf):
     return d[0].unionByName(d[1])
 
 
+@query(with_("T") + f"SELECT l.o AS label, {LN.format('d.o')} AS dimension, {LN.format('r.o')} AS region FROM {one('rdf:type', VARIANT)} t JOIN {one('hasExtent', 'urn:extent#P')} e ON e.s = t.s JOIN {one('hasDimension')} d ON d.s = t.s JOIN {one('isVariantOf')} v ON v.s = t.s JOIN {one('rdfs:label')} l ON l.s = v.o JOIN {one('hasRegion')} r ON r.s = v.o ORDER BY 1, 2, 3 LIMIT 100")
+def k4_no_text(spark, sf):
+    d = m.match(triples(spark, sf), [("?v", "rdf:type", VARIANT), ("?v", "hasExtent", "urn:extent#P"), ("?v", "hasDimension", "?d"), ("?v", "isVariantOf", "?c"), ("?c", "rdfs:label", "?label"), ("?c", "hasRegion", "?r")], bind={"?dimension": "?d", "?region": "?r"})
+    return d.select("label", "dimension", "region").orderBy("label", "dimension", "region").limit(100)
+
+
 @query(with_("T") + f"SELECT l.o AS name, k.o AS region_label, {LN.format('b.o')} AS broader FROM {one('rdf:type', CONCEPT)} t JOIN {one('rdfs:label')} l ON l.s = t.s JOIN {one('hasRegion')} r ON r.s = t.s JOIN {one('rdfs:label')} k ON k.s = r.o LEFT JOIN {one('broader')} b ON b.s = r.o ORDER BY 1, 2 LIMIT 100")
 def k4_cultural_refs(spark, sf):
     d = m.match(triples(spark, sf), [("?c", "rdf:type", CONCEPT), ("?c", "rdfs:label", "?name"), ("?c", "hasRegion", "?r"), ("?r", "rdfs:label", "?region_label")], optional=[[("?r", "broader", "?b")]], bind={"?broader": "?b"})
@@ -153,8 +159,6 @@ def k1_to_triples(spark, sf):
 
 @query(with_("G") + ", d AS (SELECT lower(broader) AS n, min(broader) AS l FROM G GROUP BY 1) SELECT 'urn:r#' || replace(n, ' ', '_') AS s, 'rdfs:label' AS p, l AS o FROM d UNION ALL SELECT 'urn:r#' || replace(n, ' ', '_'), 'rdf:type', c FROM d, (SELECT unnest(['urn:class#A', 'urn:class#B']) AS c)")
 def k2_ensure_individuals(spark, sf):
-    from ..functions.scalars import local_name_for
-
     g = frame(spark, sf, "G")
     return t.ensure_individuals(g, F.col("broader"), "urn:r#", ["urn:class#A", "urn:class#B"], local_name_for(F.col("broader"))).select("s", "p", "o")
 
@@ -174,7 +178,7 @@ def j5_add_remove(spark, sf):
 # ---- subgraphs
 
 
-SUBSET = with_("T") + """, seed AS (SELECT DISTINCT s FROM T WHERE p = 'hasRegion' AND o = 'urn:nation#FRANCE' AND s IN (SELECT s FROM T WHERE p = 'rdf:type' AND o = 'urn:class#Concept')),
+SUBSET = with_("T") + """, seed AS (SELECT DISTINCT s FROM T WHERE p = 'hasRegion' AND o = 'urn:nation#NATION_6' AND s IN (SELECT s FROM T WHERE p = 'rdf:type' AND o = 'urn:class#Concept')),
 fwd AS (SELECT DISTINCT o AS s FROM T WHERE p IN ('hasRegion') AND s IN (SELECT s FROM seed)),
 back AS (SELECT DISTINCT s FROM T WHERE p = 'isVariantOf' AND o IN (SELECT s FROM seed)),
 chosen AS (SELECT s FROM seed UNION SELECT s FROM fwd UNION SELECT s FROM back),
@@ -185,7 +189,7 @@ SELECT DISTINCT s, p, o FROM T WHERE s IN (SELECT s FROM chosen) AND NOT (o_kind
 @query(SUBSET)
 def k8_extract_subset(spark, sf):
     x = triples(spark, sf)
-    seed = sub.seeds(x, CONCEPT, ["hasRegion"]).join(x.where("p = 'hasRegion' AND o = 'urn:nation#FRANCE'"), "s", "left_semi")
+    seed = sub.seeds(x, CONCEPT, ["hasRegion"]).join(x.where("p = 'hasRegion' AND o = 'urn:nation#NATION_6'"), "s", "left_semi")
     return sub.extract_subset(x, seed, ["hasRegion"], ["isVariantOf"], [CONCEPT, VARIANT], [REGION]).select("s", "p", "o")
 
 
@@ -201,9 +205,9 @@ def d7_vocabulary(spark, sf):
     return sub.kept_vocabulary(x, [CONCEPT, VARIANT], [REGION], used)
 
 
-@query("SELECT 'urn:stub#' || c_custkey AS s, 'rdfs:label' AS p, c_name AS o FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'urn:stub#' || c_custkey, 'rdf:type', 'urn:class#Idea' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'urn:stub#' || c_custkey AS s, 'rdfs:label' AS p, c_name AS o FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 7) UNION ALL SELECT 'urn:stub#' || c_custkey, 'rdf:type', 'urn:class#Idea' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 7)")
 def k9_stubs(spark, sf):
-    x = t.add_inverses(triples(spark, sf), [("hasVariant", "isVariantOf")])
+    x = t.add_inverses(triples(spark, sf).where("p = 'isVariantOf' AND s LIKE '%7'"), [("hasVariant", "isVariantOf")])
     seed = frame(spark, sf, "customer").select(F.concat(F.lit("urn:customer#"), F.col("c_custkey").cast("string")).alias("s"), "c_name", "c_custkey")
     facts = [Fact("rdfs:label", F.col("c_name"), lang="en"), Fact("rdf:type", F.lit("urn:class#Idea"), "iri")]
     return sub.make_stubs(x, seed, "hasVariant", facts, F.concat(F.lit("urn:stub#"), F.col("c_custkey").cast("string"))).select("s", "p", "o")
@@ -223,15 +227,15 @@ def k11_split_schema(spark, sf):
 # ---- repair
 
 
-@query(with_("T") + "SELECT s, p, o FROM T WHERE s <> 'urn:nation#FRANCE' AND o <> 'urn:nation#FRANCE' AND p NOT IN ('hasExtent', 'score')")
+@query(with_("T") + "SELECT s, p, o FROM T WHERE s <> 'urn:nation#NATION_6' AND o <> 'urn:nation#NATION_6' AND p NOT IN ('hasExtent', 'score')")
 def k12_remove(spark, sf):
-    return t.remove_predicate(t.remove_node(triples(spark, sf), "urn:nation#FRANCE"), "hasExtent", "score").select("s", "p", "o")
+    return t.remove_predicate(t.remove_node(triples(spark, sf), "urn:nation#NATION_6"), "hasExtent", "score").select("s", "p", "o")
 
 
-@query(with_("T") + "SELECT s, p, o FROM T WHERE p = 'broader' AND NOT (s = 'urn:nation#FRANCE' AND o = 'urn:region#EUROPE') UNION SELECT 'urn:nation#FRANCE', 'broader', 'urn:region#WEST' UNION SELECT 'urn:nation#NONE', 'broader', 'urn:region#WEST'")
+@query(with_("T") + "SELECT s, p, o FROM T WHERE p = 'broader' AND NOT (s = 'urn:nation#NATION_6' AND o = 'urn:region#EUROPE') UNION SELECT 'urn:nation#NATION_6', 'broader', 'urn:region#WEST' UNION SELECT 'urn:nation#NONE', 'broader', 'urn:region#WEST'")
 def k13_move_parent(spark, sf):
     x = triples(spark, sf).where("p = 'broader'")
-    x = t.move_parent(x, "urn:nation#FRANCE", "urn:region#EUROPE", "urn:region#WEST", "broader")
+    x = t.move_parent(x, "urn:nation#NATION_6", "urn:region#EUROPE", "urn:region#WEST", "broader")
     return t.move_parent(x, "urn:nation#NONE", "urn:region#EUROPE", "urn:region#WEST", "broader").select("s", "p", "o")
 
 

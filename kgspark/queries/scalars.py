@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 COLOURS = {"red": "Red", "blue": "Blue", "green": "Green", "small": "Size", "large": "Size"}
 KEYS = {"src1": "One", "src2": "Two", "c3": "Three", "9": "Nine"}
 RULES = (("First", ("red", "blue")), ("Second", ("widget", "gear", "bolt")), ("Third", ("a",)))
-REGIONS = {"germany": "DE", "france": "FR", "china": "CN", "united states": "US", "japan": "Unknown"}
+REGIONS = {"nation_1": "DE", "nation_2": "FR", "europe": "EU", "asia": "AS", "nation_3": "Unknown"}
 
 
 @query(with_("E") + "SELECT id, CASE WHEN len(formats) = 0 THEN 'Unknown' ELSE array_to_string(list_transform(formats, lambda x: CASE lower(trim(x)) WHEN 'red' THEN 'Red' WHEN 'blue' THEN 'Blue' WHEN 'green' THEN 'Green' WHEN 'small' THEN 'Size' WHEN 'large' THEN 'Size' ELSE trim(x) END), ',') END AS formats FROM E")
@@ -45,12 +45,12 @@ def c3_categorise(spark, sf):
     return frame(spark, sf, "E").select("id", c.categorise(F.col("slug"), RULES).alias("category"))
 
 
-@query(with_("G") + "SELECT id, CASE lower(trim(label)) WHEN 'germany' THEN 'DE' WHEN 'france' THEN 'FR' WHEN 'china' THEN 'CN' WHEN 'united states' THEN 'US' WHEN 'japan' THEN 'Unknown' ELSE trim(label) END AS region FROM G")
+@query(with_("G") + "SELECT id, CASE lower(trim(label)) WHEN 'nation_1' THEN 'DE' WHEN 'nation_2' THEN 'FR' WHEN 'europe' THEN 'EU' WHEN 'asia' THEN 'AS' WHEN 'nation_3' THEN 'Unknown' ELSE trim(label) END AS region FROM G")
 def c4_map_region(spark, sf):
     return frame(spark, sf, "G").select("id", c.map_region(F.col("label"), REGIONS).alias("region"))
 
 
-@query(with_("G") + "SELECT id, r.x AS region FROM (SELECT id, unnest(list_transform(string_split(label || ', ' || broader || ',France', ','), lambda y: CASE lower(trim(y)) WHEN 'germany' THEN 'DE' WHEN 'france' THEN 'FR' WHEN 'china' THEN 'CN' WHEN 'united states' THEN 'US' WHEN 'japan' THEN 'Unknown' ELSE trim(y) END)) AS x FROM G) r WHERE r.x <> 'Unknown'")
+@query(with_("G") + "SELECT id, r.x AS region FROM (SELECT id, unnest(list_transform(string_split(label || ', ' || broader || ',France', ','), lambda y: CASE lower(trim(y)) WHEN 'nation_1' THEN 'DE' WHEN 'nation_2' THEN 'FR' WHEN 'europe' THEN 'EU' WHEN 'asia' THEN 'AS' WHEN 'nation_3' THEN 'Unknown' ELSE trim(y) END)) AS x FROM G) r WHERE r.x <> 'Unknown'")
 def c4_map_regions(spark, sf):
     listed = F.concat_ws("", "label", F.lit(", "), "broader", F.lit(",France"))
     return frame(spark, sf, "G").select("id", F.explode(c.map_regions(listed, REGIONS)).alias("region"))
@@ -163,10 +163,10 @@ def c24_thousands(spark, sf):
     return frame(spark, sf, "orders").select("o_orderkey", c.thousands(F.floor(F.col("o_totalprice") * 1000)).alias("shown"))
 
 
-@query(with_("T") + "SELECT replace(s, 'urn:nation#', 'urn:land#') AS s, p, CASE WHEN p = 'rdfs:label' AND o = 'FRANCE' THEN 'France' WHEN p = 'rdfs:label' AND o = 'NATION_1' THEN 'One' ELSE o END AS o FROM T WHERE p IN ('rdfs:label', 'broader')")
+@query(with_("T") + "SELECT replace(s, 'urn:nation#', 'urn:land#') AS s, p, CASE WHEN p = 'rdfs:label' AND o = 'NATION_6' THEN 'France' WHEN p = 'rdfs:label' AND o = 'NATION_1' THEN 'One' ELSE o END AS o FROM T WHERE p IN ('rdfs:label', 'broader')")
 def c25_rewrite(spark, sf):
     d = triples(spark, sf).where("p IN ('rdfs:label', 'broader')")
-    labels = spark.createDataFrame([("FRANCE", "France"), ("NATION_1", "One")], "old string, new string")
+    labels = spark.createDataFrame([("NATION_6", "France"), ("NATION_1", "One")], "old string, new string")
     return t.rewrite_labels(d, labels).select(c.rewrite_namespace(F.col("s"), (("urn:nation#", "urn:land#"),)).alias("s"), "p", "o")
 
 
