@@ -18,6 +18,8 @@ A window is `window` consecutive words; it is repeated if its words also start i
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,7 @@ from .common import stored, text_bytes
 _P = 0x9E3779B97F4A7C15
 
 
+_GAP = re.compile(rb"[\t-\r ]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)  # a fixed number for each byte
@@ -43,8 +46,20 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word. A word's hash is a polynomial in its bytes, from differences of one running sum."""
+def word_hashes(text: bytes, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word. A word's hash is a polynomial in its bytes, from differences of one running sum.
+
+    A text of over `most` bytes is taken in parts that end at a space, which bounds the arrays.
+    """
+    if len(text) > most:
+        parts, at = [], 0
+        while at < len(text):
+            space = _GAP.search(text, min(at + most, len(text)))
+            stop = space.end() if space else len(text)
+            h, start, end = word_hashes(text[at:stop], stop - at)
+            parts.append((h, start + at, end + at))
+            at = stop
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     raw = np.frombuffer(text, np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
     start, end = edge[::2], edge[1::2]

@@ -92,6 +92,16 @@ def test_substring_edges(spark, docs, none, repeated):
     assert len(twice) == 2 * len(TEXTS) and all((r.n_words, r.n_removed, r.kept) == want[r.doc_id] for r in twice)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab é\t\n\x0b", max_size=80), st.integers(1, 20))
+def test_word_hashes(t, most):
+    b = t.encode()
+    h, start, end = substring.word_hashes(b)
+    assert [b[x:y] for x, y in zip(start, end, strict=True)] == b.split()
+    assert len(set(h.tolist())) == len(set(b.split()))
+    assert all(np.array_equal(x, y) for x, y in zip(substring.word_hashes(b, most), (h, start, end), strict=True))
+
+
 def test_substring_random(spark):
     rng = random.Random(7)
     few = [f"w{i}" for i in range(6)]
