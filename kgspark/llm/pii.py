@@ -9,7 +9,9 @@ probabilities and decides on the looser candidates. Spans that the strict patter
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +101,12 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
         return []
     found = [(k, a, b, ok, ok) for k, a, b, ok in strict(text)]
     taken = sorted((a, b) for _, a, b, ok, _ in found if ok)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for kind, pattern in _LOOSE:
         for m in pattern.finditer(text):
             a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b)  # strict spans that start before this one ends
+            if not before or ends[before - 1] <= a:
                 found.append((kind, a, b, False, None))
     out = []
     for kind, a, b, base, checked in found:
