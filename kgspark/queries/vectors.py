@@ -34,13 +34,13 @@ def _scores(spark, sf):
     return v.similarities(x, v.first_prompts(x))
 
 
-@query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM x) SELECT vec_id, round(e[1] / n, 6) AS first, round(list_sum(list_transform(e, lambda y: y / n)), 5) AS total FROM n")
+@query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM x) SELECT vec_id, CASE WHEN round(e[1] / n, 6) = 0 THEN 0.0::DOUBLE ELSE round(e[1] / n, 6) END AS first, CASE WHEN round(list_sum(list_transform(e, lambda y: y / n)), 5) = 0 THEN 0.0::DOUBLE ELSE round(list_sum(list_transform(e, lambda y: y / n)), 5) END AS total FROM n")
 def m1_normalise(spark, sf):
     x = frame(spark, sf, "embeddings").select("vec_id", v.normalise(F.col("embedding")).alias("u"))
     return x.select("vec_id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.aggregate("u", F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
 
 
-@query(COS + "SELECT vec_id, prompt, round(cosine, 5) AS cosine FROM c")
+@query(COS + "SELECT vec_id, prompt, CASE WHEN round(cosine, 5) = 0 THEN 0.0::DOUBLE ELSE round(cosine, 5) END AS cosine FROM c")
 def m2_cosine(spark, sf):
     return _scores(spark, sf).withColumn("cosine", F.round("cosine", 5))
 
