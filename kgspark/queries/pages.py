@@ -50,7 +50,7 @@ def b3_gallery(spark, sf):
     return x.extract_items(frame(spark, sf, "pages").withColumn("html", html)).select("page_id", F.col("pos").cast("long").alias("pos"), "photo_id", "image_url")
 
 
-@query("SELECT page_id, 'Meme, Song' AS type, CAST(page_id AS VARCHAR) AS year, 'web' AS origin FROM pages".replace("Meme", "Macro"))
+@query("SELECT page_id, 'Macro, Song' AS type, CAST(page_id AS VARCHAR) AS year, 'web' AS origin FROM pages")
 def b4_fields(spark, sf):
     html = F.concat(F.lit("<dl><dt>Type:</dt><dd>Macro, Song</dd><dt>Year</dt><dd>"), F.col("page_id").cast("string"), F.lit("</dd><dt>Origin</dt><dd><a>web</a></dd><dt>year again</dt><dd>1</dd></dl>"))
     d = x.extract_fields(frame(spark, sf, "pages").withColumn("html", html), ["type", "year", "origin", "tags"])
