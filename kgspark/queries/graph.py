@@ -250,9 +250,13 @@ def k14_declare(spark, sf):
 UPSERT = "SELECT DISTINCT 'urn:item#' || l_orderkey || '-' || l_linenumber AS child, 'urn:order#' || CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS parent FROM lineitem WHERE l_orderkey < 500"
 
 
-def _upsert(spark, sf):
+#: The same for all of lineitem.
+UPSERT_WHOLE = UPSERT.removesuffix(" WHERE l_orderkey < 500")
+
+
+def _upsert(spark, sf, items="true"):
     x = triples(spark, sf).where("p = 'hasExtent'")
-    li = frame(spark, sf, "lineitem").where("l_orderkey < 500")
+    li = frame(spark, sf, "lineitem").where(items)
     key = F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).cast("string")
     child = li.select(F.concat(F.lit("urn:item#"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("child"), F.concat(F.lit("urn:order#"), key).alias("parent")).distinct()
     return t.upsert_children(x, child, "child", "parent", [Fact("rdf:type", F.lit("urn:class#Item"), "iri")], "isPartOf", "hasPart")
@@ -260,11 +264,21 @@ def _upsert(spark, sf):
 
 @query(with_("T") + f", c AS ({UPSERT}), ok AS (SELECT * FROM c WHERE parent IN (SELECT s FROM T WHERE p = 'hasExtent')) SELECT s, p, o FROM T WHERE p = 'hasExtent' UNION SELECT child, 'rdf:type', 'urn:class#Item' FROM ok UNION SELECT child, 'isPartOf', parent FROM ok UNION SELECT parent, 'hasPart', child FROM ok")
 def k15_upsert_children(spark, sf):
+    return _upsert(spark, sf, "l_orderkey < 500")[0].select("s", "p", "o")
+
+
+@query(with_("T") + f", c AS ({UPSERT_WHOLE}), ok AS (SELECT * FROM c WHERE parent IN (SELECT s FROM T WHERE p = 'hasExtent')) SELECT s, p, o FROM T WHERE p = 'hasExtent' UNION SELECT child, 'rdf:type', 'urn:class#Item' FROM ok UNION SELECT child, 'isPartOf', parent FROM ok UNION SELECT parent, 'hasPart', child FROM ok")
+def k15_upsert_children_whole(spark, sf):
     return _upsert(spark, sf)[0].select("s", "p", "o")
 
 
 @query(with_("T") + f", c AS ({UPSERT}), k AS (SELECT DISTINCT s FROM T WHERE p = 'hasExtent') SELECT count(*) AS n, count(k.s) AS matched, count(*) - count(k.s) AS unmatched, count(k.s) AS changed FROM c LEFT JOIN k ON k.s = c.parent")
 def k15_upsert_report(spark, sf):
+    return _upsert(spark, sf, "l_orderkey < 500")[1]
+
+
+@query(with_("T") + f", c AS ({UPSERT_WHOLE}), k AS (SELECT DISTINCT s FROM T WHERE p = 'hasExtent') SELECT count(*) AS n, count(k.s) AS matched, count(*) - count(k.s) AS unmatched, count(k.s) AS changed FROM c LEFT JOIN k ON k.s = c.parent")
+def k15_upsert_report_whole(spark, sf):
     return _upsert(spark, sf)[1]
 
 

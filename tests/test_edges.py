@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark import queries as registered
 from kgspark.functions import extract as x
 from kgspark.functions import scalars as c
 from kgspark.operators import aggregates as a
@@ -174,3 +175,16 @@ def test_stream_stops_when_quiet(spark, tmp_path):
     q = jobs.append_to(jobs.unseen(jobs.stream(spark, str(tmp_path / "ev"), "k int, ts timestamp"), "k", "ts", "1 hour"), str(tmp_path / "ev-out"), str(tmp_path / "ev-check"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ev-out")).count() == 1
+
+
+def test_upsert_takes_every_item(spark):
+    sf = "/root/testdata/sf0.001"
+    items = {(r.l_orderkey, r.l_linenumber) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()}
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    known = {(f"urn:item#{k}-{n}", f"urn:order#{k}") for k, n in items if n != 7 and k in orders}
+    assert any(k >= 500 for k, _ in items)
+    got = registered.queries()["k15_upsert_children_whole"](spark, sf).collect()
+    assert sorted((r.s, r.o) for r in got if r.p == "isPartOf") == sorted(known)
+    assert sorted((r.o, r.s) for r in got if r.p == "hasPart") == sorted(known)
+    n = registered.queries()["k15_upsert_report_whole"](spark, sf).first()
+    assert (n.n, n.matched, n.unmatched) == (len(items), len(known), len(items) - len(known))
