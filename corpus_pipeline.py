@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import decontaminate, mixing, pii, quality, simhash
+from kgspark.llm import decontaminate, jaccard, mixing, pii, quality
 from kgspark.llm.common import checkpointed, crc_fold, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,9 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    found = simhash.near_duplicates(docs, shingle=4, d=4)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    """The document with the smallest id of each near-duplicate group: 5-word shingles, similarity 0.8."""
+    named = docs.select(*COLUMNS).withColumn("node", jaccard.node_of("text"))
+    group = jaccard.components(docs, size=5, least=0.8)
+    ids = named.where("doc_id is not null").select("doc_id", "node").join(group, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    first = ids.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
 
 

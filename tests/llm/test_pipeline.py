@@ -1,5 +1,7 @@
 """The stages in their order, each on what the one before kept."""
 
+import random
+
 import corpus_pipeline
 from kgspark.llm.common import checkpointed
 
@@ -21,3 +23,37 @@ def test_stages(spark):
     assert docs.groupBy("doc_id").count().where("count > 3").count() == 0
     again = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def changed(words, places):
+    return " ".join(f"new{p}" if p in places else w for p, w in enumerate(words))
+
+
+def jaccard_of(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_at_similarity_0_8(spark):
+    rng = random.Random(11)
+    rows, pairs, apart = [], 0, []
+    for k in range(60):
+        n = rng.randrange(40, 300)
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        few = [rng.randrange(2, n - 2) for _ in range(max(1, n // 50))]
+        copy = changed(words, few)
+        rows += [(2 * k, " ".join(words), "en", "a", 1), (2 * k + 1, copy, "en", "a", 1)]
+        alike = jaccard_of(" ".join(words), copy)
+        pairs += alike >= 0.8
+        if alike < 0.8:
+            apart.append(2 * k + 1)
+    # a chain: neighbours are alike, ends are not
+    base = [f"c{i}" for i in range(100)]
+    chain = [" ".join(base[j : j + 92]) for j in range(0, 9, 4)]
+    rows += [(1000 + j, t, "en", "a", 1) for j, t in enumerate(chain)]
+    rows += [(2000, None, "en", "a", 0), (2001, " \n", "en", "a", 2), (2002, "One two", "en", "a", 7), (2003, "one  TWO", "en", "a", 8)]
+    assert pairs > 20 and apart
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
+    assert got == {*range(0, 120, 2), *apart, 1000, 2000, 2002}
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
