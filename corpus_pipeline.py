@@ -1,9 +1,9 @@
 """Corpus pipeline: quality, near-duplicates, benchmark leaks, personal data, mix.
 
 Each stage takes (spark, docs, sf_dir) and all that the stage before kept; all but the last return the
-columns of `documents`. Null texts count as empty; after the third stage they are empty. Repeated rows of an id
-are copies: the second stage keeps one of them. Rows without an id leave at the second stage. Extra columns are
-dropped, and an empty table gives an empty one.
+columns of `documents`. Null texts count as empty; after the third stage they are empty. The second stage compares
+texts only: rows without an id, and different texts under one id, stay. Extra columns are dropped, and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,12 +24,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group: 5-word shingles, similarity 0.8."""
-    named = docs.select(*COLUMNS).withColumn("node", jaccard.node_of("text"))
-    group = jaccard.components(docs, size=5, least=0.8)
-    ids = named.where("doc_id is not null").select("doc_id", "node").join(group, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    first = ids.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group (5-word shingles, similarity 0.8): that of the smallest id, rows without an id last."""
+    named = docs.select(*COLUMNS, jaccard.node_of("text").alias("node")).join(jaccard.components(docs, size=5, least=0.8), "node", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"), "text", "lang", "source", "n_chars")
+    return named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(order).alias("row")).select(*[f"row.{c}" for c in COLUMNS])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +44,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, with a column `copy` from 1; documents not taken are absent."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    # rows without an id, or with a shared one, are told apart by their texts
+    docs = docs.withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    taken = mixing.mix(docs, id_col="row").where("copies > 0").groupBy("row").agg(F.max("copies").alias("copies"))
+    return docs.join(taken, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
 STAGES = [

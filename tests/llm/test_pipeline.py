@@ -57,3 +57,18 @@ def test_near_duplicates_at_similarity_0_8(spark):
     got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
     assert got == {*range(0, 120, 2), *apart, 1000, 2000, 2002}
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_keep_rows_without_or_with_shared_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(50)) for k in "abcdef"}
+    rows = [(None, "a"), (None, "b"), (1, "b"), (2, "c"), (2, "d"), (2, "d"), (None, "e"), (None, "e"), (3, "f"), (2, "f")]
+    docs = spark.createDataFrame([(i, text[k], "en", k, 1) for i, k in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.source, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()))
+    assert got == sorted((i, k, text[k]) for i, k in [(0, "a"), (1, "b"), (2, "c"), (2, "d"), (0, "e"), (2, "f")])
+
+
+def test_mixing_takes_rows_without_or_with_shared_ids(spark):
+    rows = [(None, "a b"), (None, "c d"), (1, "e f"), (1, "g h"), (2, "i j")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixing_stage(spark, docs, SF).collect()
+    assert sorted((r.text, r.copy) for r in got) == [(t, 1) for _, t in rows]
