@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 #: (rule, verdict): a rule is a host with its subdomains and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-# A small labelled URL table, 1 unwanted and 0 wanted.
-UNWANTED = ("casino-win", "casino-online", "big-casino", "poker-room", "free-bets", "sports-bets", "bets-win", "adult-x", "adult-cams", "xxx-tube", "spam-farm", "link-farm", "free-pills", "cheap-pills", "replica-watch", "win-prize", "lottery-win", "payday-loans", "click-farm", "free-download-crack", "ads-track", "track-ads", "ad-server")
-WANTED = ("news", "library", "university", "docs", "wiki", "blog", "museum", "weather", "science", "history", "journal", "school", "city-council", "recipes", "garden", "tionsh", "thertion", "theron", "ththed", "therand", "tionble", "ththere", "ththor", "ththhe", "ththan", "therst", "thering", "thernt", "tionand", "health", "archive", "music", "travel", "forum")
+# A small labelled table of general host names, 1 unwanted and 0 wanted; none is taken from a given table.
+UNWANTED = ("casino-online", "big-casino", "casino-bonus", "poker-room", "slots-jackpot", "roulette", "sports-bets", "best-bets", "betting-tips", "bookmaker-odds", "win-prize", "lottery-win", "adult-cams", "adult-dating", "xxx-tube", "porn-videos", "sex-chat", "hot-girls", "link-farm", "spam-mail", "bulk-mail", "buy-backlinks", "diet-pills", "pills-online", "cheap-viagra", "cheap-meds", "miracle-cure", "replica-watch", "fake-bags", "payday-loans", "fast-cash", "get-rich", "free-download-crack", "free-ringtones", "keygen", "warez", "ad-server", "banner-ads", "popup-ads", "click-tracker", "pixel-track")
+WANTED = ("news", "library", "university", "docs", "wiki", "blog", "museum", "weather", "science", "history", "journal", "school", "city-council", "recipes", "garden", "health", "archive", "music", "travel", "forum", "theatre", "mathematics", "bakery", "railway", "hospital", "parliament", "painting", "football-club", "orchestra", "architecture", "photography", "translation", "education", "nature", "mountain-huts", "engineering", "bookshop", "cinema", "dictionary", "astronomy", "farmers-market", "geology", "town-hall", "public-transport", "philosophy", "statistics", "knitting", "cycling", "observatory", "open-data", "kindergarten", "northern-times", "fire-brigade", "choir", "gallery", "encyclopedia", "law-review", "hiking", "chess", "pottery")
 
 
 def training_urls(spark: SparkSession) -> DataFrame:
@@ -27,10 +27,10 @@ def training_urls(spark: SparkSession) -> DataFrame:
     rows = []
     for y, names in ((1, UNWANTED), (0, WANTED)):
         for k, name in enumerate(names):
-            for j, prefix in enumerate(("", "www.", "m.", "blog.")):
-                for i, domain in enumerate(("example.com", "example.org", "example.net", "com")):
+            for j, prefix in enumerate(("", "www.", "shop.", "en.")):
+                for i, domain in enumerate(("com", "org", "net", "info")):
                     n = (k * 16 + j * 4 + i) * 7919 % 9973
-                    tail = (f"/en/{n}", f"/fr/{n}/", f"/de/{n}.html", f"/es/{n}", f"/en/{n}/", "/")[(n + i) % 6]
+                    tail = (f"/{n}", f"/articles/{n}", f"/2023/05/{n}.html", f"/page/{n}/", "/index.html", "/")[(n + i) % 6]
                     rows.append((f"https://{prefix}{name}.{domain}{tail}", float(y)))
     return spark.createDataFrame(rows, "url string, y double")
 

@@ -450,6 +450,12 @@ def test_urls(spark):
     assert urls.judge(df, model).count() == len(pages) and urls.judge(df.limit(0), model).count() == 0
 
 
+def test_url_table_holds_no_host_of_the_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    names = {re.sub(r"^(www|m|blog)\.", "", r.h).split(".")[0] for r in pages.select(urls.host(pages["url"]).alias("h")).distinct().collect()}
+    assert len(names) > 50 and not names & {*urls.WANTED, *urls.UNWANTED}
+
+
 # ---- mixing
 
 
