@@ -7,11 +7,12 @@ they are registered, `frame` runs it over the parquet files of a folder.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.files import write_triples
+from .storage import scratch, state_of
+
 E = """SELECT p_partkey AS id, replace(p_name,' ','-') AS slug, p_name AS title, split(p_name,' ') AS formats,
        p_brand AS platform, p_type AS image_type, p_retailprice AS views FROM part"""
 
@@ -45,6 +46,7 @@ FACTS = (
     ("concat('urn:order#', o_orderkey)", "isVariantOf", "concat('urn:customer#', o_custkey)", "iri", "orders"),
     ("concat('urn:order#', o_orderkey)", "hasExtent", "concat('urn:extent#', o_orderstatus)", "iri", "orders"),
     ("concat('urn:order#', o_orderkey)", "hasDimension", "concat('urn:dimension#', o_orderpriority)", "iri", "orders"),
+    ("concat('urn:order#', o_orderkey)", "note", "concat('still open: ', o_orderpriority)", "literal", "orders WHERE o_orderstatus = 'P'"),
 )
 T = " UNION ALL ".join(f"SELECT {s} AS s, '{p}' AS p, {o} AS o, '{k}' AS o_kind FROM {t}" for s, p, o, k, t in FACTS)
 
@@ -64,31 +66,25 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder; in a temporary folder where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgspark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triple table with all its columns, stored by predicate once per application and folder.
+    """The triple table with all its columns, stored by predicate once per application and state of its input tables.
 
     Graph operators scan it several times; stored by predicate, each pattern reads its own partition.
     Types and languages of literals are constant here.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *(state_of(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "orders", "region")))
     if key not in _STORED:
         t = frame(spark, sf_dir, "T")
         t = t.selectExpr("s", "p", "o", "o_kind", "CASE WHEN p = 'score' THEN 'xsd:integer' WHEN o_kind = 'literal' THEN 'xsd:string' END AS o_type", "CASE WHEN p = 'rdfs:label' THEN 'en' END AS o_lang")
         path = scratch(spark, "triples")
-        t.write.partitionBy("p").parquet(path)
+        write_triples(t, path)
         _STORED[key] = path
     return spark.read.schema("s string, o string, o_kind string, o_type string, o_lang string, p string").parquet(_STORED[key]).select("s", "p", "o", "o_kind", "o_type", "o_lang")
 
 
 def with_(*names: str) -> str:
-    """WITH clause of adapters, for a SQL twin."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " "
+    """WITH clause of adapters, for a SQL twin; the triple table, which twins read many times, is made once."""
+    return "WITH " + ", ".join(f"{n} AS {'MATERIALIZED ' if n == 'T' else ''}({SQL[n]})" for n in names) + " "

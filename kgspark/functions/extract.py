@@ -82,7 +82,8 @@ def first_paragraph_after(html: Column, heading: str) -> Column:
     return blank_to_null(strip_tags(F.regexp_extract(clean(html), rf"(?is){heading}.*?<p\b[^>]*>(.*?)(?=</p>|<p\b|</article>|$)", 1)))
 
 
-UI_WORDS = ("icon", "logo", "avatar", "sprite", "button", "badge", "emoji", "banner", "placeholder")
+# Words that mark an image of the interface.
+UI_WORDS = ("newsletter", "facebook", "instagram", "tiktok", "twitter", "youtube", "discord", "snapchat", "avatar", "icon", "profile", "logo", "stamp", "user", "svg", "button", "badge", "submit", "favorite", "kym", "deadpool")
 
 
 def is_ui_image(alt: Column, src: Column, cls: Column, width: Column, height: Column, words: Sequence[str] = UI_WORDS, side: int = 64) -> Column:

@@ -37,7 +37,7 @@ def inverted_index(df: DataFrame, item: str, *nodes: Column, sep: str = "||") ->
 
 
 def index_lists(index: DataFrame, item: str) -> DataFrame:
-    """sorted list of items for each node of a long index."""
+    """sorted list of items for each node of a long index; for nodes of few items. An index with nodes of very many stays long."""
     return index.groupBy("node").agg(F.array_sort(F.collect_set(item)).alias("items"))
 
 
@@ -103,9 +103,13 @@ def first_seen(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def differs_from_reference(df: DataFrame, group: str, order: str, column: str) -> DataFrame:
-    """per group how many rows differ (null-safely) from the group's first row by `order`."""
-    ref = F.first(column).over(W.partitionBy(group).orderBy(order))
-    return df.select(group, F.col(column).alias("v_"), ref.alias("r_")).groupBy(group).agg(F.sum((~F.col("v_").eqNullSafe(F.col("r_"))).cast("int")).alias("n_different"))
+    """per group how many rows differ (null-safely) from the group's first row by `order`.
+
+    Rows are counted by group and value first, with the least order of each; the value that comes first is the
+    reference. Both steps combine before the shuffle, so a group of very many rows is no burden.
+    """
+    counts = df.groupBy(group, F.col(column).alias("v_")).agg(F.count("*").alias("n_"), F.min(F.struct(order)).alias("o_"))
+    return counts.groupBy(group).agg((F.sum("n_") - F.min_by("n_", "o_")).alias("n_different"))
 
 
 def nest(df: DataFrame, group: str, order: str, *columns: str, out: str = "children") -> DataFrame:

@@ -64,19 +64,22 @@ def link_parents(children: DataFrame, parents: DataFrame, child_key: Column, par
     return c.withColumn("parent_id", F.coalesce(*found)).drop("ck_", *found)
 
 
-def prefix_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, min_prefix: int = 3) -> DataFrame:
-    """For each distinct left key the first right key (by code points) of which one is a prefix of the other.
+def prefix_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """For each distinct left key its right key: the same one, else the one with `_` before it, else the first (by code points) of which one is a prefix of the other.
 
-    Instead of comparing all pairs, each right key is dealt by every prefix of it from `min_prefix` signs on
-    and by itself, and each left key likewise; keys shorter than `min_prefix` have no match. A pair shares
-    the whole shorter key, so it meets by one equality.
+    Instead of comparing all pairs, each right key is dealt by every prefix of it and by itself, and each left key
+    likewise, so a pair meets by one equality. Empty keys are the same as each other and a prefix of no other.
     """
-    lk = left.select(F.col(left_key).alias("l")).where(F.length("l") >= min_prefix).distinct()
-    rk = right.select(F.col(right_key).alias("r")).where(F.length("r") >= min_prefix).distinct()
-    cuts = lambda c: F.transform(F.sequence(F.lit(min_prefix), F.length(c)), lambda n: F.left(F.col(c), n))
+    lk, rk = left.select(F.col(left_key).alias("l")).where("l IS NOT NULL").distinct(), right.select(F.col(right_key).alias("r")).where("r IS NOT NULL").distinct()
+    cuts = lambda c: F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.left(F.col(c), n))).otherwise(F.array(F.lit("")))
     down = lk.select("l", F.explode(cuts("l")).alias("cut")).join(rk, F.col("cut") == F.col("r")).select("l", "r")
-    up = rk.select("r", F.explode(cuts("r")).alias("cut")).join(lk, F.col("cut") == F.col("l")).select("l", "r")
-    return down.unionByName(up).groupBy("l").agg(F.min("r").alias("r")).select(F.col("l").alias(left_key), F.col("r").alias(right_key))
+    # of all right keys with a beginning only the first by code points can win, so each beginning keeps one
+    begun = rk.select("r", F.explode(cuts("r")).alias("cut")).groupBy("cut").agg(F.min("r").alias("r"))
+    up = lk.join(begun, F.col("l") == F.col("cut")).select("l", "r")
+    marked = lk.join(rk, F.concat(F.lit("_"), F.col("l")) == F.col("r")).select("l", "r")
+    rank = F.when(F.col("l") == F.col("r"), 0).when(F.concat(F.lit("_"), F.col("l")) == F.col("r"), 1).otherwise(2)
+    every = down.unionByName(up).unionByName(marked).groupBy("l").agg(F.min(F.struct(rank.alias("k"), "r")).alias("best"))
+    return every.select(F.col("l").alias(left_key), F.col("best.r").alias(right_key))
 
 
 def densify(counts: DataFrame, domains: Mapping[str, DataFrame], value: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def reindex(df: DataFrame, group: str, order: Sequence[str], out: str = "new_idx") -> DataFrame:
     """Rows of a group numbered from 1 in order."""
@@ -20,29 +22,59 @@ def ordinal(c: Column, values: Sequence[str]) -> Column:
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:
-    """The first row of each key, which is the first of `keys` that is not blank."""
+    """The first row of each key, which is the first of `keys` that is not blank; rows without a key are one group.
+
+    An aggregate with map-side combine, so a key of very many rows is no burden. Rows alike in `order` are told apart
+    by their other columns.
+    """
     key = F.coalesce(*[F.nullif(F.trim(k.cast("string")), F.lit("")) for k in keys])
-    d = df.withColumn("key_", key)
-    return d.withColumn("k_", F.row_number().over(W.partitionBy("key_").orderBy(*order))).where("k_ = 1").drop("key_", "k_")
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("row"))
+    return df.groupBy(key.alias("key_")).agg(F.min(row).alias("first_")).select("first_.row.*")
 
 
-def running_stack(df: DataFrame, group: str, value: str, *ties: str) -> DataFrame:
-    """Within a group by value from the top, where each segment starts and ends."""
-    w = W.partitionBy(group).orderBy(F.desc(value), *ties).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("stack_end", F.sum(value).over(w)).withColumn("stack_start", F.col("stack_end") - F.col(value))
+def dealt(df: DataFrame, group: str | None, order: Sequence) -> DataFrame:
+    """The rows sorted by range over many tasks and stored: `part_` is a row's range, `in_` its place in the range.
+
+    What is counted over the ranges and what is read again are the same stored rows, so that places agree.
+    """
+    d = df.sort(*([group] if group else []), *order).withColumn("mid_", F.monotonically_increasing_id())
+    return stored(d.withColumn("part_", F.shiftright("mid_", 33)).withColumn("in_", F.col("mid_").bitwiseAND(F.lit((1 << 33) - 1))).drop("mid_"))
+
+
+def _earlier(sums: DataFrame, group: str | None, value: str, out: str) -> DataFrame:
+    """For each range (of each group) the sum over the ranges before it; the table has one row for each."""
+    w = (W.partitionBy(group) if group else W.partitionBy(F.lit(0))).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    return sums.select("part_", *([F.col(group).alias("g_")] if group else []), F.coalesce(F.sum(value).over(w), F.lit(0)).alias(out))
 
 
 def numbered(df: DataFrame, order: Sequence, out: str = "place") -> DataFrame:
     """All rows numbered from 1 in order.
 
-    Rows are sorted by range over many tasks; each partition's rows are numbered after those of the
-    partitions before it, whose counts are a table with one row per partition. No task sees all rows.
+    Rows are sorted by range over many tasks; each range's rows are numbered after those of the ranges before
+    it, whose counts are a table with one row per range. No task sees all rows.
     """
-    d = df.sort(*order).withColumn("mid_", F.monotonically_increasing_id())
-    d = d.withColumn("part_", F.shiftright("mid_", 33)).withColumn("in_", F.col("mid_").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = d.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = sizes.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    return d.join(F.broadcast(before), "part_").withColumn(out, (F.col("base_") + F.col("in_") + 1).cast("long")).drop("mid_", "part_", "in_", "base_")
+    d = dealt(df, None, order)
+    before = _earlier(d.groupBy("part_").agg(F.count("*").alias("n_")), None, "n_", "base_")
+    return d.join(F.broadcast(before), "part_").withColumn(out, (F.col("base_") + F.col("in_") + 1).cast("long")).drop("part_", "in_", "base_")
+
+
+def running(df: DataFrame, group: str, order: Sequence, value: Column, out: str) -> DataFrame:
+    """Sum of `value` over a group's rows up to each row, in order. A group of very many rows lies in many ranges.
+
+    A window runs inside each range of a group only; the sums of the ranges before it are added.
+    """
+    d = dealt(df.withColumn("v_", value), group, order)
+    before = _earlier(d.groupBy(group, "part_").agg(F.sum("v_").alias("n_")), group, "n_", "base_")
+    inside = W.partitionBy(group, "part_").orderBy("in_").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("sum_", F.sum("v_").over(inside)).withColumnRenamed("part_", "p_")
+    j = d.join(before, d[group].eqNullSafe(before["g_"]) & (F.col("p_") == before["part_"]))
+    return j.withColumn(out, F.col("base_") + F.col("sum_")).drop("v_", "sum_", "p_", "part_", "in_", "base_", "g_")
+
+
+def running_stack(df: DataFrame, group: str, value: str, *ties: str) -> DataFrame:
+    """Within a group by value from the top, where each segment starts and ends."""
+    d = running(df, group, [F.desc(value), *ties], F.col(value), "stack_end")
+    return d.withColumn("stack_start", F.col("stack_end") - F.col(value))
 
 
 def ranked(df: DataFrame, value: str, key: str, out: str = "rank") -> DataFrame:
@@ -68,7 +100,7 @@ def grid(df: DataFrame, group: str, order: Sequence[str], rows: int) -> DataFram
     """
     widths = df.groupBy(group).agg(F.ceil(F.count("*") / rows).cast("long").alias("w_"))
     base = widths.select(F.col(group).alias("g_"), F.coalesce(F.sum("w_").over(W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    d = df.withColumn("i_", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)
+    d = running(df, group, order, F.lit(1).cast("long"), "i_").withColumn("i_", F.col("i_") - 1)
     d = d.join(base, d[group].eqNullSafe(base["g_"]))
     return d.withColumn("grid_col", (F.col("base_") + F.floor(F.col("i_") / rows)).cast("long")).withColumn("grid_row", (F.col("i_") % rows).cast("int")).drop("i_", "g_", "base_")
 
@@ -83,16 +115,21 @@ def page_count(df: DataFrame, size: int = 60) -> DataFrame:
     return df.agg(F.count("*").alias("n")).withColumn("pages", F.ceil(F.col("n") / size).cast("long"))
 
 
+def lot(key: str, seed: int) -> Column:
+    """The lot that a key draws: md5 of the seed and the key as text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """H5, H7: n rows of the distinct keys, each as likely as another; the same ones in every run."""
     one = df.dropDuplicates([key])
-    return one.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return one.orderBy(lot(key, seed), key).limit(n)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """H6: n rows of each group's distinct keys."""
     one = df.dropDuplicates([group, key])
-    w = W.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    w = W.partitionBy(group).orderBy(lot(key, seed), key)
     return one.withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= n).drop("k_")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import escape_literal, unescape_literal
 from ..plans.triples import TRIPLE
+from ..storage import publish, read_newest
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
@@ -32,27 +33,31 @@ def read_partitioned_folders(spark: SparkSession, root: str, schema: str, name:
     return d.withColumn(folder, F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)))
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """A5: `(path, length, file_id)` of files; the id is the number after the last underscore. Contents are not read."""
+def list_files(spark: SparkSession, root: str, pattern: str = "*", numbered: str = r"_(\d+)\.[^/]*$") -> DataFrame:
+    """A5: `(path, length, file_id)` of files; the id is what `numbered` finds in the path, by default the number after the last underscore. Contents are not read."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path", "length")
-    return d.withColumn("file_id", F.regexp_extract("path", r"_(\d+)\.[^/]*$", 1).try_cast("bigint"))
+    return d.withColumn("file_id", F.regexp_extract("path", numbered, 1).try_cast("bigint"))
 
 
-def read_first(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+def read_first(spark: SparkSession, paths: Sequence[str], schema: str, multi_line: bool = True) -> DataFrame:
     """The first of several sources that exists, else an empty frame."""
     for p in paths:
         try:
-            return read_records(spark, p, schema)
+            return read_records(spark, p, schema, multi_line)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     return spark.createDataFrame([], schema)
 
 
-def write_records(df: DataFrame, path: str, form: str = "parquet", by: Sequence[str] = ()) -> None:
-    """Overwrite; readers see the old or the new files by Spark's commit protocol."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*by) if by else w).format(form).save(path)
+def write_records(df: DataFrame, path: str, form: str = "parquet", by: Sequence[str] = ()) -> str:
+    """Overwrite by a new version beside the old one; `read_current` gives the old or the new rows, never a part. Gives the new files' path."""
+    return publish(df, path, form, by)
+
+
+def read_current(spark: SparkSession, path: str, schema: StructType | str, form: str = "parquet") -> DataFrame:
+    """The rows that `write_records` last completed."""
+    return read_newest(spark, path, schema, form)
 
 
 def analytics_document(meta: DataFrame, **graphs: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def analytics_document(meta: DataFrame, **graphs: DataFrame) -> DataFrame:
 
 
 def write_document(path: str, meta: DataFrame, **graphs: DataFrame) -> None:
-    """Each graph as its own Parquet folder beside `meta`."""
+    """Each graph as its own Parquet folder beside `meta`, each overwritten as in A7."""
     for name, d in {"meta": meta, **graphs}.items():
         write_records(d, f"{path}/{name}")
 

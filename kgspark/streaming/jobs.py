@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.joins import sync
+from ..storage import newest, publish
 
 
 def stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None, form: str = "parquet") -> DataFrame:
@@ -44,32 +45,32 @@ def windowed(df: DataFrame, time: str, keys: Sequence[str], width: str = "1 hour
 def backfill(fresh: DataFrame, table: str, key: str, fields: Sequence[str], checkpoint: str) -> StreamingQuery:
     """Missing fields of known rows are filled from a stream of fresh rows; present values stay, unknown keys are ignored.
 
-    Each batch writes a new version beside the old one and the name of the current version last, so a lost
-    executor or a repeated batch leaves a whole table behind. The batch size is capped by the stream.
+    Each batch publishes a new version of the table that bears the query's and the batch's number. A batch that is
+    run again, because the stream ended between the version and its own commit, finds its version and does nothing;
+    one that was broken off while writing starts again from the last complete version. The stream caps a batch's size.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        mark = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'query'}-{number}"
         known = spark.read.parquet(current(spark, table))
         some = [F.max(c).alias(c) for c in fields]
         new = batch.groupBy(key).agg(*some)
         held = known.select(key, *[F.col(c).alias(f"{c}_old_") for c in fields])
         wanted = new.join(held, key).select(key, *[F.when(F.col(f"{c}_old_").isNull(), F.col(c)).alias(c) for c in fields])
-        sync(known, wanted, key, fields).drop("changed").write.mode("overwrite").parquet(f"{table}/v{number + 1}")
-        spark.createDataFrame([(f"{table}/v{number + 1}",)], "path string").coalesce(1).write.mode("overwrite").text(f"{table}/current")
+        publish(sync(known, wanted, key, fields).drop("changed"), table, mark=mark)
 
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def start_table(df: DataFrame, table: str) -> None:
     """First version of a table for `backfill`."""
-    df.write.mode("overwrite").parquet(f"{table}/v0")
-    df.sparkSession.createDataFrame([(f"{table}/v0",)], "path string").coalesce(1).write.mode("overwrite").text(f"{table}/current")
+    publish(df, table)
 
 
 def current(spark: SparkSession, table: str) -> str:
     """Folder of the current version."""
-    return spark.read.text(f"{table}/current").first()[0]
+    return newest(spark, table)
 
 
 def run_until_quiet(start: Callable[[], StreamingQuery], quiet: int = 5, full: int = 3, target: int | None = None, most: float = 1.3) -> int:
