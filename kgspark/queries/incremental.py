@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import frame, scratch
+from ..adapters import frame
+from ..storage import scratch
 from ..streaming import jobs
 
 QUERIES: dict = {}
@@ -25,7 +26,7 @@ def _halves(spark, sf, name: str):
     """The events in a folder that grows: its path, and what adds the second half."""
     path = scratch(spark, name)
     e = frame(spark, sf, "events")
-    e.where("event_id % 2 = 0").repartition(4).write.parquet(path)
+    e.where("ts < '2024-01-16'").repartition(4).write.parquet(path)
     return path, e.schema, lambda: e.repartition(4).write.mode("append").parquet(path)
 
 
@@ -40,7 +41,7 @@ def s1_unseen(spark, sf):
     return spark.read.schema("user_id long").parquet(out)
 
 
-@query("SELECT event_id, event_type FROM events UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, event_type FROM events UNION ALL SELECT event_id, event_type FROM events WHERE ts < '2024-01-16'")
 def s2_resume(spark, sf):
     path, schema, grow = _halves(spark, sf, "s2")
     out, check = scratch(spark, "s2-out"), scratch(spark, "s2-check")
@@ -51,7 +52,7 @@ def s2_resume(spark, sf):
     return spark.read.schema("event_id long, event_type string").parquet(out)
 
 
-@query("SELECT event_type, count(*) + count(*) FILTER (event_id % 2 = 0) AS n FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) + count(*) FILTER (ts < '2024-01-16') AS n FROM events GROUP BY event_type")
 def s3_refresh(spark, sf):
     path, schema, grow = _halves(spark, sf, "s3")
     out, check = scratch(spark, "s3-out"), scratch(spark, "s3-check")
@@ -62,11 +63,20 @@ def s3_refresh(spark, sf):
     return spark.read.schema("event_type string, n long").parquet(out)
 
 
-@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 5 = 0 THEN 'new' END AS o_orderpriority FROM orders")
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_totalprice > 150000 THEN o_orderpriority WHEN o_orderstatus = 'F' THEN 'new' END AS o_orderpriority FROM orders")
 def s4_backfill(spark, sf):
     table, fresh, check = scratch(spark, "s4"), scratch(spark, "s4-fresh"), scratch(spark, "s4-check")
     o = frame(spark, sf, "orders")
-    jobs.start_table(o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("o_orderpriority")), table)
-    o.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("new").alias("o_orderpriority")).repartition(2).write.parquet(fresh)
+    jobs.start_table(o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_totalprice") > 150000, F.col("o_orderpriority")).alias("o_orderpriority")), table)
+    o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("new").alias("o_orderpriority")).repartition(2).write.parquet(fresh)
     jobs.backfill(jobs.stream(spark, fresh, "o_orderkey long, o_orderpriority string", files_per_batch=1), table, "o_orderkey", ["o_orderpriority"], check).awaitTermination()
     return spark.read.schema("o_orderkey long, o_orderstatus string, o_orderpriority string").parquet(jobs.current(spark, table))
+
+
+@query("SELECT event_id, event_type FROM events")
+def s5_until_quiet(spark, sf):
+    path, out, check = scratch(spark, "s5"), scratch(spark, "s5-out"), scratch(spark, "s5-check")
+    e = frame(spark, sf, "events")
+    e.repartition(3).write.parquet(path)
+    jobs.run_until_quiet(lambda: jobs.append_to(jobs.stream(spark, path, e.schema, files_per_batch=2).select("event_id", "event_type"), out, check), quiet=2)
+    return spark.read.schema("event_id long, event_type string").parquet(out)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import frame, scratch, with_
+from ..adapters import frame, with_
 from ..functions import extract as x
 from ..functions.scalars import slug_from_url
 from ..sources import files
+from ..storage import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,17 +44,27 @@ def b3_list_items(spark, sf):
     return x.list_items(frame(spark, sf, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
-@query(f"SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, CAST(page_id AS VARCHAR) AS photo_id, 'u' || i || '/photos/images/original/x' AS image_url FROM pages, (SELECT unnest(range(1, 3)) AS i)")
+#: The pages have no galleries, sidebars or images of their own; these are written behind their text, with the page's title.
+TITLE = "coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')"
+
+
+def _titled(spark, sf, *parts):
+    """Pages with more text behind their own; `{t}` stands for the title."""
+    title = F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(""))
+    more = F.concat(F.lit(""), *[F.replace(F.lit(p), F.lit("{t}"), title) for p in parts])
+    return frame(spark, sf, "pages").withColumns({"title": title, "html": F.concat(F.coalesce("html", F.lit("")), more)})
+
+
+@query(f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, CAST(NULL AS VARCHAR) AS photo_id, {TITLE} || k || '/photos/images/original/x' AS image_url FROM pages, (SELECT unnest(range(1, 3)) AS k)")
 def b3_gallery(spark, sf):
-    one = '<a class="item" href="/photos/{id}-x"><img src="u{k}/photos/images/masonry/x" alt="a"></a>'
-    html = F.concat(*[F.replace(F.lit(one.replace("{k}", str(k))), F.lit("{id}"), F.col("page_id").cast("string")) for k in (1, 2, 1)])
-    return x.extract_items(frame(spark, sf, "pages").withColumn("html", html)).select("page_id", F.col("pos").cast("long").alias("pos"), "photo_id", "image_url")
+    one = '<a class="item" href="/photos/x"><img src="{t}{k}/photos/images/masonry/x" alt="a"></a>'
+    d = x.extract_items(_titled(spark, sf, *[one.replace("{k}", str(k)) for k in (1, 2, 1)]))
+    return d.select("page_id", F.col("pos").cast("long").alias("pos"), "photo_id", "image_url")
 
 
-@query("SELECT page_id, 'Macro, Song' AS type, CAST(page_id AS VARCHAR) AS year, 'web' AS origin FROM pages")
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({STRIP.format(TITLE)}, ','), lambda v: trim(v)), lambda v: v <> ''), ', ') AS type, nullif({STRIP.format(TITLE)}, '') AS year, 'web' AS origin FROM pages")
 def b4_fields(spark, sf):
-    html = F.concat(F.lit("<dl><dt>Type:</dt><dd>Macro, Song</dd><dt>Year</dt><dd>"), F.col("page_id").cast("string"), F.lit("</dd><dt>Origin</dt><dd><a>web</a></dd><dt>year again</dt><dd>1</dd></dl>"))
-    d = x.extract_fields(frame(spark, sf, "pages").withColumn("html", html), ["type", "year", "origin", "tags"])
+    d = x.extract_fields(_titled(spark, sf, "<dl><dt>Type:</dt><dd>{t}</dd><dt>Year</dt><dd><b>{t}</b></dd><dt>Origin</dt><dd><a>web</a></dd><dt>year again</dt><dd>1</dd></dl>"), ["type", "year", "origin", "tags"])
     return d.select("page_id", F.array_join("type", ", ").alias("type"), "year", "origin")
 
 
@@ -67,20 +78,18 @@ def b6_first_paragraph(spark, sf):
     return frame(spark, sf, "pages").select("page_id", F.md5(x.first_paragraph_after(F.col("html"), r"<h1\b")).alias("p"))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a.gif' WHEN 1 THEN 'og.jpg' WHEN 2 THEN 's.jpg' END AS image FROM pages")
+@query(f"SELECT page_id, CASE WHEN length({TITLE}) % 2 = 0 THEN {TITLE} || '.jpg' ELSE 's-' || {TITLE} || '.jpg' END AS image FROM pages")
 def b7_choose_image(spark, sf):
-    icon = "<img class='entry-icon' src='a.gif'>"
-    og = "<meta property='og:image' content='og.jpg'>"
-    section = "<section><img src='logo.png'><img src='t.jpg' width='20' height='20'><img src='s.jpg'></section>"
-    k = F.col("page_id") % 4
-    html = F.when(k == 0, og + icon).when(k == 1, og + section).when(k == 2, section).otherwise("<meta name='twitter:image' content='Default.png'>" + section)
-    return frame(spark, sf, "pages").select("page_id", x.choose_image(html).alias("image"))
+    section = "<section><img src='logo.png'><img src='t.jpg' width='20' height='20'><img src='s-{t}.jpg'></section>"
+    d = _titled(spark, sf, section)
+    og = F.when(F.length("title") % 2 == 0, F.concat(F.lit("<meta property='og:image' content='"), "title", F.lit(".jpg'>"))).otherwise("")
+    return d.select("page_id", x.choose_image(F.concat("html", og)).alias("image"))
 
 
-@query("SELECT page_id, page_id % 5 = 0 OR page_id % 3 = 0 AS ui FROM pages")
+@query(f"SELECT page_id, regexp_matches(lower(concat_ws(' ', {TITLE}, url)), 'newsletter|facebook|instagram|tiktok|twitter|youtube|discord|snapchat|avatar|icon|profile|logo|stamp|user|svg|button|badge|submit|favorite|kym|deadpool') OR (length({TITLE}) <= 64 AND length(url) <= 64) AS ui FROM pages")
 def b8_ui_image(spark, sf):
-    k = F.col("page_id")
-    return frame(spark, sf, "pages").select("page_id", x.is_ui_image(F.when(k % 5 == 0, "The Icon"), F.lit("a.png"), F.lit(None).cast("string"), F.when(k % 3 == 0, 64).otherwise(65), F.lit(10)).alias("ui"))
+    d = _titled(spark, sf)
+    return d.select("page_id", x.is_ui_image(F.col("title"), F.col("url"), F.lit(None).cast("string"), F.length("title"), F.length("url")).alias("ui"))
 
 
 @query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1234 WHEN 1 THEN 77 ELSE nullif(len(regexp_extract_all({CLEAN}, '<li>')), 0) END AS n FROM pages")
@@ -94,18 +103,42 @@ def b9_count_with_fallback(spark, sf):
 def a1_records_round_trip(spark, sf):
     path = scratch(spark, "records")
     e = frame(spark, sf, "E").select("id", "slug", "formats", "views")
-    files.write_records(e, path, "json")
-    return files.read_records(spark, path, e.schema, multi_line=False).select("id", "slug", F.array_join("formats", ",").alias("formats"), "views")
+    written = files.write_records(e, path, "json")
+    return files.read_records(spark, written, e.schema, multi_line=False).select("id", "slug", F.array_join("formats", ",").alias("formats"), "views")
 
 
 @query(with_("E") + "SELECT lpad(CAST(id AS VARCHAR), CAST(greatest(4, length(CAST(id AS VARCHAR))) AS INT), '0') AS key, slug, views FROM E")
 def a2_keyed_round_trip(spark, sf):
     path = scratch(spark, "keyed")
-    e = frame(spark, sf, "E").select(F.to_json(F.create_map(F.col("id").cast("string"), F.struct("slug", "views"))).alias("value"))
-    e.write.text(path, lineSep="\n")
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string, struct<slug: string, views: double>>")).alias("k", "v"))
-    padded = F.when(F.length("k") < 4, F.lpad("k", 4, "0")).otherwise(F.col("k"))
-    return rows.select(padded.alias("key"), "v.slug", "v.views")
+    # one object for each pair of platform and kind, each in a file of its own
+    entry = F.struct(F.col("id").cast("string"), F.struct("slug", "views"))
+    e = frame(spark, sf, "E").groupBy("platform", "image_type").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    e.write.partitionBy("platform", "image_type").text(path)
+    return files.read_keyed(spark, path, "slug: string, views: double").select("key", "slug", "views")
+
+
+@query(with_("E") + "SELECT id, slug, array_to_string(formats, ',') AS formats FROM E")
+def a3_byte_order_mark(spark, sf):
+    path = scratch(spark, "bom")
+    e = frame(spark, sf, "E").groupBy("platform", "image_type").agg(F.concat(F.lit("\ufeff"), F.to_json(F.collect_list(F.struct("id", "slug", "formats")))).alias("value"))
+    e.write.partitionBy("platform", "image_type").text(path)
+    d = files.read_records(spark, path, "id long, slug string, formats array<string>")
+    return d.select("id", "slug", F.array_join("formats", ",").alias("formats"))
+
+
+@query("SELECT DISTINCT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS file_id, true AS filled FROM orders")
+def a5_list_files(spark, sf):
+    path = scratch(spark, "listed")
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("long")
+    frame(spark, sf, "orders").select("o_orderkey", month.alias("month")).repartition("month").write.partitionBy("month").json(path)
+    return files.list_files(spark, path, "*.json", r"month=(\d+)/[^/]*$").select("file_id", (F.col("length") > 0).alias("filled"))
+
+
+@query(with_("O") + "SELECT id, yr, platform FROM O")
+def a6_first_that_exists(spark, sf):
+    path = scratch(spark, "first")
+    frame(spark, sf, "O").select("id", "yr", "platform").write.json(f"{path}/second")
+    return files.read_first(spark, [f"{path}/none", f"{path}/second"], "id long, yr int, platform string", multi_line=False)
 
 
 @query(with_("V") + "SELECT parent, idx, part, dimension AS folder FROM V")
@@ -123,15 +156,18 @@ def a7_overwrite(spark, sf):
     o = frame(spark, sf, "O").select("id", "yr", "platform")
     files.write_records(o.where("id < 0"), path, by=["yr"])
     files.write_records(o, path, by=["yr"])
-    return spark.read.schema("id long, platform string, yr int").parquet(path).select("id", "yr", "platform")
+    return files.read_current(spark, path, "id long, platform string, yr int").select("id", "yr", "platform")
 
 
-@query(with_("O") + "SELECT count(DISTINCT yr) AS years, count(DISTINCT platform) AS platforms FROM O")
+@query(with_("O") + "SELECT 'meta' AS graph, 'n' AS node, count(*) AS n FROM O UNION ALL SELECT 'years', CAST(yr AS VARCHAR), count(*) FROM O GROUP BY yr UNION ALL SELECT 'platforms', platform, count(*) FROM O GROUP BY platform")
 def a8_document(spark, sf):
     o = frame(spark, sf, "O")
     doc = files.analytics_document(o.agg(F.count("*").alias("n")), years=o.groupBy("yr").count(), platforms=o.groupBy("platform").count())
     read = F.from_json("document", "meta struct<n: long>, years array<struct<yr: int, count: long>>, platforms array<struct<platform: string, count: long>>")
-    return doc.select(read.alias("d")).select(F.size("d.years").cast("long").alias("years"), F.size("d.platforms").cast("long").alias("platforms"))
+    row = lambda graph, node, n: F.struct(F.lit(graph).alias("graph"), node.cast("string").alias("node"), n.alias("n"))
+    d = doc.select(read.alias("d"))
+    rows = F.concat(F.array(row("meta", F.lit("n"), F.col("d.meta.n"))), F.transform("d.years", lambda v: row("years", v["yr"], v["count"])), F.transform("d.platforms", lambda v: row("platforms", v["platform"], v["count"])))
+    return d.select(F.explode(rows).alias("r")).select("r.*")
 
 
 @query("SELECT page_id, list_extract(string_split(regexp_replace(url, '/+$', ''), '/'), -1) AS slug, length(html) AS chars FROM pages")

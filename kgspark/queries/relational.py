@@ -44,10 +44,10 @@ def e3_patch(spark, sf):
     return j.patch(frame(spark, sf, "orders"), p, "o_orderkey", ["o_orderstatus"]).select("o_orderkey", "o_orderstatus", "patched")
 
 
-@query("SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 3 = 0 AND o.o_orderkey % 2 = 0 THEN 'X' ELSE o.o_orderstatus END AS o_orderstatus, CASE WHEN o.o_orderkey % 3 = 0 THEN 'new' ELSE o.o_orderpriority END AS o_orderpriority, CAST(o.o_orderkey % 3 = 0 AS INT) + CAST(o.o_orderkey % 6 = 0 AS INT) AS changed FROM orders o")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderpriority END AS o_orderpriority, CAST(o_orderstatus = 'F' AS INT) + CAST(o_orderstatus = 'F' AND o_totalprice > 100000 AS INT) AS changed FROM orders")
 def e4_sync(spark, sf):
     o = frame(spark, sf, "orders")
-    fresh = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "X").otherwise(" ").alias("o_orderstatus"), F.lit("new").alias("o_orderpriority"))
+    fresh = o.where("o_orderstatus = 'F'").select("o_orderkey", F.when(F.col("o_totalprice") > 100000, "X").otherwise(" ").alias("o_orderstatus"), F.lit("new").alias("o_orderpriority"))
     return j.sync(o, fresh, "o_orderkey", ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "o_orderstatus", "o_orderpriority", "changed")
 
 
@@ -60,11 +60,12 @@ def e5_link_parents(spark, sf):
     return j.link_parents(e, parents, child, [slug, F.replace(slug_from_title(F.col("title")), F.lit("-"), F.lit(""))], "pid").select("id", "parent_id")
 
 
-@query(with_("E") + ", l AS (SELECT DISTINCT slug AS l FROM E), r AS (SELECT DISTINCT left(slug, 5) AS r FROM E UNION SELECT DISTINCT slug || '-x' FROM E WHERE id % 5 = 0) SELECT l AS slug, min(r) AS other FROM l JOIN r ON starts_with(l, r) OR starts_with(r, l) GROUP BY l")
+@query(with_("E") + ", l AS (SELECT DISTINCT slug AS l FROM E), r AS (SELECT left(slug, 1) AS r FROM E UNION SELECT left(slug, 2) FROM E UNION SELECT slug || '-x' FROM E UNION SELECT slug FROM E WHERE slug < 'f' UNION SELECT '_' || slug FROM E WHERE slug > 'p') SELECT l AS slug, r AS other FROM (SELECT l, r, row_number() OVER (PARTITION BY l ORDER BY CASE WHEN l = r THEN 0 WHEN '_' || l = r THEN 1 ELSE 2 END, r) AS k FROM l JOIN r ON '_' || l = r OR starts_with(l, r) OR starts_with(r, l)) WHERE k = 1")
 def e6_prefix_match(spark, sf):
+    slug = F.col("slug")
+    keys = [F.left(slug, F.lit(1)), F.left(slug, F.lit(2)), F.concat(slug, F.lit("-x")), F.when(slug < "f", slug), F.when(slug > "p", F.concat(F.lit("_"), slug))]
     e = frame(spark, sf, "E")
-    other = e.select(F.left("slug", F.lit(5)).alias("other")).unionByName(e.where("id % 5 = 0").select(F.concat("slug", F.lit("-x")).alias("other")))
-    return j.prefix_match(e, other, "slug", "other")
+    return j.prefix_match(e, e.select(F.explode(F.array(*keys)).alias("other")), "slug", "other")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -73,9 +74,9 @@ def e7_semi(spark, sf):
     return frame(spark, sf, "customer").join(o, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 7)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def e8_anti(spark, sf):
-    o = frame(spark, sf, "orders").where("o_orderkey % 10 = 7").select(F.col("o_custkey").alias("c_custkey"))
+    o = frame(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return frame(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -99,15 +100,16 @@ def e12_densify(spark, sf):
     return j.densify(a.count_by(o.where("yr % 2 = 0"), "period", "platform"), {"period": o.select("period").distinct(), "platform": axis}, "n").select("period", "platform", "n")
 
 
-@query(with_("C") + "SELECT C.id, coalesce('Q' || n.n_nationkey, 'urn:' || C.region_id) AS ext FROM C LEFT JOIN nation n ON n.n_nationkey = C.region_id AND n.n_nationkey % 2 = 0")
+@query(with_("C") + "SELECT C.id, coalesce('Q' || n.n_nationkey, 'urn:' || C.region_id) AS ext FROM C LEFT JOIN nation n ON n.n_nationkey = C.region_id AND n.n_name < 'NATION_2'")
 def e13_external_ids(spark, sf):
-    ids = frame(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("label"), F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("external_id"))
+    ids = frame(spark, sf, "nation").where("n_name < 'NATION_2'").select(F.col("n_nationkey").alias("label"), F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("external_id"))
     return j.external_ids(frame(spark, sf, "C"), ids, "region_id", "ext", F.concat(F.lit("urn:"), F.col("region_id").cast("string"))).select("id", "ext")
 
 
-@query("SELECT c_nationkey AS nation, 'b' AS missing_in FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY 1 UNION ALL SELECT s_nationkey, 'a' FROM supplier WHERE s_suppkey % 7 = 0 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer) GROUP BY 1")
+@query("WITH b AS (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 9000 UNION SELECT 99) SELECT c_nationkey AS nation, 'b' AS missing_in FROM customer WHERE c_nationkey NOT IN (SELECT k FROM b) GROUP BY 1 UNION ALL SELECT k, 'a' FROM b WHERE k NOT IN (SELECT c_nationkey FROM customer)")
 def e14_coverage(spark, sf):
-    return j.coverage(frame(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")), frame(spark, sf, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("nation")), "nation")
+    b = frame(spark, sf, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("nation")).unionByName(spark.createDataFrame([(99,)], "nation int"))
+    return j.coverage(frame(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")), b, "nation")
 
 
 @query("SELECT o_orderkey, o_orderstatus, c_name, l_linenumber, l_quantity FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = (SELECT max(l_orderkey) FROM lineitem)")
@@ -145,6 +147,11 @@ def f6_inverted_index(spark, sf):
     return lists.select("node", F.array_join("items", ",").alias("items"))
 
 
+@query(with_("O") + "SELECT DISTINCT period || '||' || platform AS node, id FROM O")
+def f6_inverted_index_long(spark, sf):
+    return a.inverted_index(frame(spark, sf, "O"), "id", F.col("period"), F.col("platform"))
+
+
 @query(with_("O") + ", t AS (SELECT platform, count(*) AS n FROM O GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3), c AS (SELECT period, coalesce(t.platform, 'Other') AS platform, count(*) AS n FROM O LEFT JOIN t USING (platform) GROUP BY ALL) SELECT *, CAST(sum(n) OVER (PARTITION BY period) AS BIGINT) AS total, round(n / sum(n) OVER (PARTITION BY period), 6) AS ratio FROM c")
 def f7_top_or_other(spark, sf):
     return a.top_or_other(frame(spark, sf, "O"), "period", "platform", 3).withColumn("ratio", F.round("ratio", 6))
@@ -204,11 +211,11 @@ def f17_color_mode(spark, sf):
     return a.color_mode(frame(spark, sf, "PIXELS"), cut=100).select("image_id", F.round("spread", 4).alias("spread"), "mode")
 
 
-@query(with_("E", "O") + ", x AS (SELECT slug AS node, string_agg(DISTINCT platform, ',' ORDER BY platform) AS items FROM E GROUP BY 1), y AS (SELECT slug AS node, string_agg(DISTINCT image_type, ',' ORDER BY image_type) AS items FROM E WHERE id % 7 = 0 GROUP BY 1) SELECT coalesce(x.node, y.node) AS node, coalesce(y.items, x.items) AS items FROM x FULL JOIN y ON x.node = y.node")
+@query(with_("E", "O") + ", x AS (SELECT slug AS node, string_agg(DISTINCT platform, ',' ORDER BY platform) AS items FROM E GROUP BY 1), y AS (SELECT slug AS node, string_agg(DISTINCT image_type, ',' ORDER BY image_type) AS items FROM E WHERE platform = 'Brand#11' GROUP BY 1) SELECT coalesce(x.node, y.node) AS node, coalesce(y.items, x.items) AS items FROM x FULL JOIN y ON x.node = y.node")
 def f20_merge_indexes(spark, sf):
     e = frame(spark, sf, "E")
     x = a.index_lists(a.inverted_index(e, "platform", F.col("slug")), "platform")
-    y = a.index_lists(a.inverted_index(e.where("id % 7 = 0"), "image_type", F.col("slug")), "image_type")
+    y = a.index_lists(a.inverted_index(e.where("platform = 'Brand#11'"), "image_type", F.col("slug")), "image_type")
     return a.merge_indexes(x, y).select("node", F.array_join("items", ",").alias("items"))
 
 
@@ -284,24 +291,24 @@ def h4_page_count(spark, sf):
     return w.page_count(frame(spark, sf, "E"))
 
 
-@query()
+@query(with_("E") + "SELECT slug FROM (SELECT DISTINCT slug FROM E) ORDER BY md5('5:' || slug), slug LIMIT 30")
 def h5_sample(spark, sf):
     return w.sample(frame(spark, sf, "E"), "slug", 30, 5).select("slug")
 
 
-@query()
+@query(with_("V") + "SELECT dimension, part FROM (SELECT DISTINCT dimension, part FROM V) QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY md5('5:' || part), part) <= 20")
 def h6_sample_per_group(spark, sf):
     return w.sample_per_group(frame(spark, sf, "V"), "dimension", "part", 20, 5).select("dimension", "part")
 
 
-@query()
+@query(with_("O") + "SELECT id FROM (SELECT DISTINCT id FROM O) ORDER BY md5('7:' || id), id LIMIT 200")
 def h7_shuffled(spark, sf):
     return w.sample(frame(spark, sf, "O"), "id", 200, 7).select("id")
 
 
-@query(with_("V") + "SELECT parent, idx, part FROM V WHERE parent > 10 ORDER BY parent, idx, part LIMIT 50")
+@query(with_("V") + "SELECT parent, idx, part FROM V ORDER BY parent, idx, part LIMIT 50")
 def h8_first_n(spark, sf):
-    return w.first_n(frame(spark, sf, "V").where("parent > 10"), ["parent", "idx", "part"], 50).select("parent", "idx", "part")
+    return w.first_n(frame(spark, sf, "V"), ["parent", "idx", "part"], 50).select("parent", "idx", "part")
 
 
 @query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders")
@@ -316,11 +323,11 @@ def j2_union_tagged(spark, sf):
     return sets.union_tagged(entity=e, variant=v)
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 7")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def j3_difference(spark, sf):
-    return sets.difference(frame(spark, sf, "customer").select(F.col("c_custkey").alias("k")), frame(spark, sf, "orders").where("o_orderkey % 10 = 7").select(F.col("o_custkey").alias("k")))
+    return sets.difference(frame(spark, sf, "customer").select(F.col("c_custkey").alias("k")), frame(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")))
 
 
-@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def j4_intersection(spark, sf):
-    return sets.intersection(frame(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), frame(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k")))
+    return sets.intersection(frame(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), frame(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))

@@ -201,9 +201,9 @@ def d3_drop_impossible(spark, sf):
     return d.drop_impossible(frame(spark, sf, "O"), rules, ("platform", "period")).select("id", "platform", "period")
 
 
-@query(r"SELECT doc_id FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '(?i)\b(?:trash|idiot|with)\b')")
+@query(r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i)\b(?:trash|idiot|with)\b')")
 def d4_without_keywords(spark, sf):
-    return d.without_keywords(frame(spark, sf, "documents").where("lang = 'en'"), "text", ("trash", "idiot", "with")).select("doc_id")
+    return d.without_keywords(frame(spark, sf, "documents"), "text", ("trash", "idiot", "with")).select("doc_id")
 
 
 @query(r"SELECT doc_id FROM documents WHERE NOT (source = 'src1' AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(the|la)($|[^\p{L}\p{N}_])')) AND NOT (source = 'src2' AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])of($|[^\p{L}\p{N}_])'))")

@@ -55,9 +55,9 @@ def m4_best_label(spark, sf):
     return v.best_label(v.softmax(_scores(spark, sf)))
 
 
-@query(COS + "SELECT b.vec_id, round(b.p, 4) >= 0.6 OR coalesce(trim(d.text), '') <> '' AS present, CASE WHEN coalesce(trim(d.text), '') <> '' THEN md5(left(trim(d.text), 200)) END AS snippet FROM b LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 = 0) d ON d.doc_id = b.vec_id")
+@query(COS + "SELECT b.vec_id, round(b.p, 4) >= 0.6 OR coalesce(trim(d.text), '') <> '' AS present, CASE WHEN coalesce(trim(d.text), '') <> '' THEN md5(left(trim(d.text), 200)) END AS snippet FROM b LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d ON d.doc_id = b.vec_id")
 def m5_text_presence(spark, sf):
-    d = frame(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("vec_id"), "text")
+    d = frame(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"), "text")
     x = v.best_label(v.softmax(_scores(spark, sf))).join(d, "vec_id", "left").select("vec_id", v.text_presence(F.col("score"), F.col("text")).alias("x"))
     return x.select("vec_id", "x.present", F.md5("x.snippet").alias("snippet"))
 
