@@ -1,13 +1,12 @@
-"""What the operators of this subpackage share: checkpoint folder, bounded label samples, text columns."""
+"""What the operators of this subpackage share: tables between steps, bounded label samples, text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed, forget, shared_folder, stored  # noqa: F401
+
 #: Words are runs of anything but these (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,27 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` by a reliable checkpoint in the cluster's shared folder.
+def join_few(df: DataFrame, few: DataFrame, on: list[str], by: str, salts: int = 64) -> DataFrame:
+    """`df` with the columns of `few` (one row for each key, null where it has none).
 
-    The folder is the session's `spark.checkpoint.dir`; a folder of our own is set only where that is
-    unset, which is the case in local tests.
+    The rows of one key are dealt over `salts` tasks by a hash of `by`, and the rows of `few` stand once for each.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgspark-"))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` as a compressed table into the checkpoint folder and read it again: lineage is cut, and disk is spared."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgspark-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    few = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(few, [*on, "salt_"], "left").drop("salt_")
 
 
 def text_bytes(text: Column | str) -> Column:
@@ -64,5 +49,5 @@ def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: st
 
 
 def crc_fold(id_col: str = "doc_id", folds: int = 5) -> Column:
-    """crc32 of the id written as text, modulo `folds`."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
+    """crc32 of the id written as text, modulo `folds`; a null id counts as empty text, whose remainder is 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))

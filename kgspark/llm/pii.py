@@ -110,7 +110,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, str]]:
                 found.append((kind, a, b, False, None))
     out = []
     for kind, a, b, base, checked in found:
-        s = text[a:b] if b - a <= 256 else text[a : a + 256]
+        s = text[a:b]
         v = votes(kind, s, text[max(0, a - 32) : a], text[b : b + 1], checked)
         parts = len(re.findall(r"[^A-Za-z0-9]+", s))
         out.append((KINDS.index(kind), a, b, base, " ".join(map(str, (KINDS.index(kind), *v, min(parts, 4), min((b - a) // 8, 3))))))

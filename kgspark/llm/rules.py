@@ -82,17 +82,28 @@ def all_of(rule: list[Condition]) -> Column:
     return out
 
 
+def tightest(rule: list[Condition]) -> list[Condition]:
+    """The same conjunction without conditions that another one of it implies."""
+    best: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        k = c.feature, c.above
+        if k not in best or (c.threshold > best[k].threshold) == c.above:
+            best[k] = c
+    return list(best.values())
+
+
 def gain(p: float, n: float, p0: float, n0: float) -> float:
     """FOIL's information gain of a condition that leaves p of p0 and n of n0 rows."""
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def learn(stats: DataFrame, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least: int = 5, cuts: int = 24, small: int = 200) -> list[list[Condition]]:
+def learn(stats: DataFrame, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least: int = 5, cuts: int = 24) -> list[list[Condition]]:
     """Ordered rules for y = 0 from labelled statistics `(y, …)`; each rule is a conjunction.
 
-    A rule is kept while on the pruning rows at least `precision` of what it covers is unwanted, and it
-    covers `least` unwanted rows in all. With fewer than `small` unwanted rows all rows serve for both.
-    Without rows of both classes the list is empty.
+    A hash of the id deals a third of the rows to pruning; rules grow on the others. A rule is kept while on the
+    pruning rows at least `precision` of what it covers is unwanted, and it covers a third of `least` unwanted rows
+    there. Of several conditions on the same side of one statistic only the tightest stays. Without rows of both
+    classes, or with too few for a rule to show its worth, the list is empty.
     """
     names = list(FEATURES)
     values = stats.select((F.col("y") == 0).cast("int").alias("bad"), "*", *[F.expr(f"CAST({FEATURES[f]} AS double)").alias(f"v{k}") for k, f in enumerate(names)])
@@ -108,8 +119,7 @@ def learn(stats: DataFrame, max_rules: int = 8, max_conditions: int = 3, precisi
     bins = F.array(*[F.struct(F.lit(k).alias("f"), below(k).alias("bin")) for k in range(len(names)) if points[k]])
     if not any(points):
         return []
-    few = values.where("bad = 1").count() < small
-    growing, pruning = (F.lit(True), F.lit(True)) if few else (~F.col("prune"), F.col("prune"))
+    growing, pruning = ~F.col("prune"), F.col("prune")
     rules: list[list[Condition]] = []
     left = values
     for _ in range(max_rules):
@@ -148,7 +158,7 @@ def learn(stats: DataFrame, max_rules: int = 8, max_conditions: int = 3, precisi
         p, n = worth[keep]
         if p + n and p < precision * (p + n) or 3 * p < least:
             break
-        rule = rule[: keep + 1]
+        rule = tightest(rule[: keep + 1])
         rules.append(rule)
         left = left.where(~all_of(rule))
     return rules
