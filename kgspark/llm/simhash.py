@@ -4,7 +4,8 @@
    (with map-side combine), so exact copies cost one row however many there are.
 2. Fingerprints that differ in at most `d` bits agree on one of `d + 1` bit blocks. Rows are dealt by
    (block, value); a bucket of more than `bucket_rows` fingerprints is dealt once more by blocks of the
-   bits that are left, which again loses no link.
+   bits that are left, which again loses no link. A bucket that is still larger, as of a cluster of very many
+   different fingerprints, is cut into parts, and every two parts meet in a task of at most about `bucket_rows`.
 3. In a bucket the fingerprints are sorted by Gray rank, so neighbours share long bit patterns. A node of
    the index holds the bits on which all below it agree (mask and pattern). A query meets the nodes level
    by level; a node is dropped with everything below it once the differences on its mask exceed `d`.
@@ -21,30 +22,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_bytes
+from .common import checkpointed, join_few, text_bytes
 from .components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FAN = 16  #: children of an index node
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of UTF-8 text; a text without words has fingerprint zero."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every word shingle of UTF-8 text, A-Z lower-cased, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(flat, seed)
+        return np.array([digest(flat, seed)], np.uint64)
     stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = np.concatenate(([0], stop[:-1] + 1))[: len(words) - shingle + 1].tolist()
+    return np.fromiter((digest(flat[a:b], seed) for a, b in zip(first, stop[shingle - 1 :].tolist(), strict=True)), np.uint64, len(first))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
     ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    last = stop[shingle - 1 :].tolist()
-    for at in range(0, len(first), 65536):
-        h = np.array([digest(flat[a:b], seed) for a, b in zip(first[at : at + 65536], last[at : at + 65536], strict=True)], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(first), bitorder="little").tobytes(), "little")
+    for at in range(0, len(h), 65536):
+        part = np.ascontiguousarray(h[at : at + 65536], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of UTF-8 text; a text without words has fingerprint zero."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def _signed(v: int) -> int:
@@ -165,17 +175,23 @@ def links(fps: DataFrame, d: int = 4, bucket_rows: int = 16_384) -> DataFrame:
     first = _blocks(list(range(64)), parts)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in first])).alias("block", "value"))
     sizes = keyed.groupBy("block", "value").count().where(F.col("count") > bucket_rows).select("block", "value", F.lit(True).alias("hot"))
-    dealt = keyed.join(sizes, ["block", "value"], "left")
+    dealt = join_few(keyed, sizes, ["block", "value"], "fp")
     again = []
     for m in first:
         rest = [b for b in range(64) if not m >> b & 1]
         again.append(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(x))) for x in _blocks(rest, parts)]))
     rest_of = F.element_at(F.array(*again), F.col("block") + 1)
-    cool = dealt.where("hot is null").select("fp", "block", "value", F.lit(-1).alias("block2"), F.lit(0).cast("long").alias("value2"))
+    cool = dealt.where("hot is null").select("fp", "block", "value", F.lit(-1).alias("block2"), F.lit(0).cast("long").alias("value2"), F.lit(-1).cast("long").alias("meet"))
     hot = dealt.where("hot").select("fp", "block", "value", F.posexplode(rest_of).alias("block2", "value2"))
 
-    keys = ["block", "value", "block2", "value2"]
-    rows = cool.unionByName(hot).repartition(*keys).sortWithinPartitions(*keys).select("fp", *keys)
+    # what is still too large is cut into parts that meet two by two
+    twice = ["block", "value", "block2", "value2"]
+    large = hot.groupBy(*twice).count().where(F.col("count") > bucket_rows).select(*twice, F.ceil(2 * F.col("count") / bucket_rows).cast("long").alias("cuts"))
+    cut = join_few(hot, large, twice, "fp").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("cuts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda x: x != F.col("own"))
+    meets = F.when(F.col("cuts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(others, lambda x: F.least(x, "own") * F.col("cuts") + F.greatest(x, "own")))
+    keys = [*twice, "meet"]
+    rows = cool.unionByName(cut.select("fp", *twice, F.explode(meets).alias("meet"))).repartition(*keys).sortWithinPartitions(*keys).select("fp", *keys)
     return rows.mapInArrow(lambda batches: _forests(batches, d), "a long, b long").distinct()
 
 
@@ -222,9 +238,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
     least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    label = connected_components(links(least.select("fp"), d, bucket_rows))
-    named = least.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = checkpointed(named)
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "root").select("fp", "component_id")
+    label = connected_components(links(least.select("fp"), d, bucket_rows)).withColumnRenamed("node", "fp")
+    linked = checkpointed(least.join(label, "fp"))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = join_few(linked, smallest, ["root"], "fp", 8).select("fp", "component_id")
+    of = least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,11 +1,13 @@
-"""Near-duplicates by the similarity of shingle sets: MinHash bands propose pairs, the sets themselves decide.
+"""SimHash near-duplicates at a similarity of shingle sets: candidates are proposed, the sets themselves decide.
 
 1. Texts of equal words are one node, named by a hash of the words.
-2. Every node has `BANDS` keys of `ROWS` minima over its shingle hashes. Sets of similarity 0.8 share a key with
-   probability 1 - (1 - 0.8^4)^25, all but two in a million.
-3. Each key's nodes are first compared with one of them, chosen anew for each key. This joins a large cluster by
-   a few edges for each node. Nodes of a key that are still in different components are then compared in pairs,
-   so that every pair with a common key is compared or already joined.
+2. The Gray-order index of `simhash` links nodes whose fingerprints lie within `d` bits; these pairs are proposed.
+   At a similarity of 0.8 about ten of 64 bits differ, which no index of bounded work can cover (at ten bits nearly
+   every bucket would hold a share of all fingerprints). So a second proposal completes it:
+3. Every node has `BANDS` keys of `ROWS` minima over its shingle hashes. Sets of similarity 0.8 share a key with
+   probability 1 - (1 - 0.8^4)^25, all but two in a million. Each key's nodes are first compared with one of them,
+   chosen anew for each key, which joins a large cluster by a few edges for each node. Nodes of a key that are still
+   in different components are then compared in pairs, so that every pair with a common key is compared or joined.
 4. A link is an exact comparison: common shingles over all shingles of both.
 """
 
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_bytes
 from .components import connected_components
+from .simhash import _signed, links, majority, shingle_hashes
 
 BANDS, ROWS = 25, 4
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def node_of(text: Column | str) -> Column:
@@ -31,20 +33,6 @@ def node_of(text: Column | str) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", " ")))
 
 
-def shingles(text: bytes, size: int = 5) -> np.ndarray:
-    """Distinct hashes of the word shingles of UTF-8 text; a shorter text is one shingle, one without words has none."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    flat = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(flat, 5)], np.uint64)
-    stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    first = np.concatenate(([0], stop[:-1] + 1))[: len(words) - size + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(flat[a:b], 5) for a, b in zip(first, stop[size - 1 :].tolist(), strict=True)], np.uint64))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One signed key for each band, different between bands."""
     rng = np.random.default_rng(42)
@@ -59,23 +47,29 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(seeds[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _keys(docs: DataFrame, size: int) -> DataFrame:
-    """`(node, n, keys)` once for each node that has words; n is the number of its shingles."""
+def _keys(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """`(node, n, fp, keys)` once for each node that has words; n is the number of its distinct shingles, fp its fingerprint."""
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t, size) for t in b.column(1).to_pylist()]
-            flat = np.concatenate([np.empty(0, np.int64), *[band_keys(s) if len(s) else np.zeros(BANDS, np.int64) for s in sets]])
+            n, fp, flat = [], [], [np.empty(0, np.int64)]
+            for t in b.column(1).to_pylist():
+                h = shingle_hashes(t, size, seed)
+                held = np.unique(h)
+                n.append(len(held))
+                fp.append(_signed(majority(h)))
+                flat.append(band_keys(held) if len(held) else np.zeros(BANDS, np.int64))
+            flat = np.concatenate(flat)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), keys], names=["node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), keys], names=["node", "n", "fp", "keys"])
 
-    return docs.mapInArrow(run, "node long, n int, keys array<long>").where("n > 0").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, n int, fp long, keys array<long>").where("n > 0").dropDuplicates(["node"])
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            sets = [shingles(t, size).view(np.int64) for t in b.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(t, size, seed)).view(np.int64) for t in b.column(1).to_pylist()]
             stop = np.cumsum([0, *map(len, sets)])
             held = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([b.column(0), held], names=["node", "held"])
@@ -90,29 +84,41 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return d.where(both >= least * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
-def components(docs: DataFrame, text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+def proposed(keyed: DataFrame, d: int) -> DataFrame:
+    """Pairs `(a, b)` of nodes by their fingerprints: nodes of one fingerprint with the least of them, and the index's links between fingerprints."""
+    least = keyed.groupBy("fp").agg(F.min("node").alias("rep"))
+    alike = keyed.join(least, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    x, y = least.toDF("a", "ra"), least.toDF("b", "rb")
+    near = links(least.select("fp"), d).join(x, "a").join(y, "b").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
+    return alike.where("a <> b").unionByName(near)
+
+
+def components(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, d: int = 4, seed: int = 42) -> DataFrame:
     """`(node, root)` for every node that is linked to another, directly or through others.
 
-    Nodes whose sets of `size`-word shingles have a Jaccard similarity of at least `least` are linked. Texts of
-    equal words are one node already (`node_of`). An empty table gives an empty one.
+    Nodes whose sets of `shingle`-word shingles have a Jaccard similarity of at least `similarity` are linked. Texts
+    of equal words are one node already (`node_of`); null and empty texts are one node without links. An empty table
+    gives an empty one. Columns of `docs` other than the text are not read.
     """
     texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("t"))
-    keyed = _keys(texts, size).select("node", "n", F.explode("keys").alias("key"))
-    keyed = stored(keyed)
+    keyed = stored(_keys(texts, shingle, seed))
+    keys = keyed.select("node", "n", F.explode("keys").alias("key"))
     pick = F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("rep"), F.col("n").alias("rn"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(pick).alias("pick")).where("many > 1").select("key", "pick.rep", "pick.rn")
-    met = stored(keyed.join(shared, "key"))  # the nodes of keys that several nodes have
-    sets = stored(_sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), size))
+    shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(pick).alias("pick")).where("many > 1").select("key", "pick.rep", "pick.rn")
+    met = stored(keys.join(shared, "key"))  # the nodes of keys that several nodes have
 
     def near_size(x: str, y: str) -> Column:  # the similarity is at most the ratio of the sizes
-        return F.least(x, y) >= least * F.greatest(x, y)
+        return F.least(x, y) >= similarity * F.greatest(x, y)
 
-    first = met.where(F.col("node") != F.col("rep")).where(near_size("n", "rn")).select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
-    linked = stored(_alike(first, sets, least))
+    first = met.where(F.col("node") != F.col("rep")).where(near_size("n", "rn")).select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
+    first = stored(first.unionByName(proposed(keyed, d)).distinct())
+    wanted = met.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    sets = stored(_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), shingle, seed))
+    linked = stored(_alike(first, sets, similarity))
     label = connected_components(linked)
     now = met.join(label, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     now = stored(now.join(mixed, "key", "left_semi"))
     x, y = now.toDF("key", "a", "na", "ra"), now.toDF("key", "b", "nb", "rb")
     rest = x.join(y, "key").where("ra > rb").where(near_size("na", "nb")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return connected_components(linked.unionByName(_alike(rest, sets, least)))
+    return connected_components(linked.unionByName(_alike(rest, sets, similarity)))
