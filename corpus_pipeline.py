@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import decontaminate, jaccard, mixing, pii, quality
-from kgspark.llm.common import checkpointed, crc_fold, table
+from kgspark.llm import decontaminate, mixing, pii, quality, simhash_sets
+from kgspark.llm.common import crc_fold, join_few, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,8 +24,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group (5-word shingles, similarity 0.8): that of the smallest id, rows without an id last."""
-    named = docs.select(*COLUMNS, jaccard.node_of("text").alias("node")).join(jaccard.components(docs, size=5, least=0.8), "node", "left")
+    """One row of each near-duplicate group: that of the smallest id, rows without an id last, of equal ids by a hash of the text.
+
+    The SimHash operator at a similarity: texts are linked at 0.8 or more of their 5-word shingles.
+    """
+    nodes = simhash_sets.components(docs, shingle=5, similarity=0.8)
+    named = docs.select(*COLUMNS, simhash_sets.node_of("text").alias("node"))
+    # linked nodes are few beside all rows; a node of very many rows meets its root in many tasks
+    named = join_few(named, nodes, ["node"], "doc_id", 8)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"), "text", "lang", "source", "n_chars")
     return named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(order).alias("row")).select(*[f"row.{c}" for c in COLUMNS])
 
@@ -63,10 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage keeps is written to the checkpoint folder and read by the next."""
+    """All stages over the documents; what a stage keeps is written as Parquet to the checkpoint folder and read by the next."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = stored(docs)
     return docs
