@@ -14,36 +14,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_labels, labelled_texts
-from .wordgrams import class_counts, scored, shape_and_word_grams, sparse_rows
+from .wordgrams import class_counts, known_grams, scored, shape_and_word_grams, sparse_rows
 
 
 @dataclass
 class QualityModel:
-    weights: dict[bytes, float]
+    weights: tuple[np.ndarray, np.ndarray]  # ascending gram hashes, and their weights
     slope: float
     offset: float
 
 
-def dual_coordinate_descent(y, start, cols, values, c: float = 1.0, epochs: int = 30, seed: int = 5) -> np.ndarray:
-    """Weights of a squared-hinge linear model; y is -1 or 1, rows are sparse; the last weight is the bias."""
-    n, m = len(y), int(cols.max(initial=-1)) + 1
+def dual_coordinate_descent(y, rows: list[np.ndarray], values: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 5) -> np.ndarray:
+    """Weights of a squared-hinge linear model; y is -1 or 1, a row is its columns, a column's entries are all its value; the last weight is the bias."""
+    n, m = len(y), len(values)
     w, alpha = np.zeros(m + 1), np.zeros(n)
     # both classes get the same total cost
     cost = np.where(y > 0, c * n / (2 * max(1, (y > 0).sum())), c * n / (2 * max(1, (y < 0).sum())))
-    rows = [cols[start[i] : start[i + 1]] for i in range(n)]
-    vals = [values[r] for r in rows]
-    norm = np.array([v @ v + 1 for v in vals]) + 0.5 / cost
+    square = values * values
+    norm = np.array([square[r].sum() + 1 for r in rows]) + 0.5 / cost
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (vals[i] @ w[rows[i]] + w[m]) - 1 + alpha[i] * 0.5 / cost[i]
+            v = values[rows[i]]
+            g = y[i] * (v @ w[rows[i]] + w[m]) - 1 + alpha[i] * 0.5 / cost[i]
             step = min(g, 0.0) if alpha[i] == 0 else g
             if step:
                 most = max(most, abs(step))
                 old, alpha[i] = alpha[i], max(alpha[i] - g / norm[i], 0.0)
                 move = (alpha[i] - old) * y[i]
-                w[rows[i]] += move * vals[i]
+                w[rows[i]] += move * v
                 w[m] += move
         if most < 1e-3:
             break
@@ -67,45 +67,46 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(ab[0], 1e-6)), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", train_on: Column | None = None, bound: int = 10_000, min_docs: int = 5, features: int = 40_000, smooth: float = 1.0) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", train_on: Column | None = None, bound: int = 10_000, min_docs: int = 5, smooth: float = 1.0) -> QualityModel:
     """Fit on at most about `bound` labelled texts (a hash of the id chooses; `train_on` filters labels first).
 
-    Grams in fewer than `min_docs` of them are left out and the `features` with the largest difference in
-    class counts are kept. Without both classes the model scores 0.5 everywhere. Of the texts only the
-    grams are used: no other column, and no label of a row outside the sample.
+    Grams in fewer than `min_docs` of them are left out, all others are used. Without both classes the model scores
+    0.5 everywhere. Of the texts only the grams are used: no other column, and no label of a row outside the sample.
+    Repeated rows of an id count as often as they occur.
     """
     sample = bounded_labels(labels.where(train_on) if train_on is not None else labels, label, bound, id_col)
     texts = labelled_texts(docs, sample, id_col, text_col).withColumn("y", (F.col("y") > 0).cast("int"))
-    sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
-    if len(sizes) < 2:
-        return QualityModel({}, 1e-6, 0.0)
-    weight = F.abs(F.col("n1") / sizes[1] - F.col("n0") / sizes[0])
-    top = class_counts(texts, shape_and_word_grams, 2).where(F.col("n0") + F.col("n1") >= min_docs).orderBy(weight.desc(), "gram").limit(features).collect()
-    index = {bytes(r["gram"]): k for k, r in enumerate(top)}
-    p, q = (np.array([r[n] for r in top], np.float64) + smooth for n in ("n1", "n0"))
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    index, n0, n1 = known_grams(class_counts(texts, shape_and_word_grams, 2).where(F.col("n0") + F.col("n1") >= min_docs))
     y, start, cols = sparse_rows(texts, shape_and_word_grams, index)
+    if len(np.unique(y)) < 2:
+        return QualityModel((index[:0], np.empty(0)), 1e-6, 0.0)
+    p, q = n1 + smooth, n0 + smooth
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     sign = np.where(y > 0, 1.0, -1.0)
-    scale = ratio / max(1.0, float(np.sqrt(np.mean(np.add.reduceat(ratio[cols] ** 2, start[:-1][np.diff(start) > 0])))))
+    rows = [cols[x:z] for x, z in zip(start[:-1], start[1:], strict=True)]
+    filled = [float((ratio[r] ** 2).sum()) for r in rows if len(r)]
+    scale = ratio / max(1.0, float(np.sqrt(np.mean(filled))) if filled else 1.0)
     # margins for the probability curve come from halves that the model did not see
     half = np.arange(len(y)) % 2
     margin = np.zeros(len(y))
     for k in (0, 1):
         at = np.flatnonzero(half == k)
-        part = [cols[start[i] : start[i + 1]] for i in at]
-        w = dual_coordinate_descent(sign[at], np.concatenate([[0], np.cumsum([len(x) for x in part])]), np.concatenate(part), scale)
-        w = np.concatenate([w[:-1], np.zeros(len(scale) + 1 - len(w)), w[-1:]])
+        w = dual_coordinate_descent(sign[at], [rows[i] for i in at], scale)
         for i in np.flatnonzero(half != k):
-            x = cols[start[i] : start[i + 1]]
-            margin[i] = scale[x] @ w[x] + w[-1]
+            margin[i] = scale[rows[i]] @ w[rows[i]] + w[-1]
     slope, offset = platt(margin, sign)
-    w = dual_coordinate_descent(sign, start, cols, scale)
-    full = np.concatenate([w[:-1], np.zeros(len(scale) + 1 - len(w))]) * scale
-    return QualityModel({g: float(full[k]) for g, k in index.items() if abs(full[k]) > 1e-9}, slope, offset + slope * float(w[-1]))
+    w = dual_coordinate_descent(sign, rows, scale)
+    full = w[:-1] * scale
+    used = np.abs(full) > 1e-9
+    return QualityModel((index[used], full[used]), slope, offset + slope * float(w[-1]))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, *more) -> DataFrame:
-    """`(id_col, *more, score, predicted)` for every row; null and empty texts are scored as texts without grams."""
+    """`(id_col, *more, score, predicted)` for every row.
+
+    Null and empty texts are scored as texts without words; repeated rows are scored alike; an empty table gives an
+    empty one. Columns of `docs` that are not named are not read.
+    """
 
     def finish(sums: np.ndarray):
         s = 1 / (1 + np.exp(-np.clip(model.slope * sums + model.offset, -500, 500)))

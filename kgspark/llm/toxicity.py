@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_labels, labelled_texts
-from .wordgrams import class_counts, plain_words, scored, sparse_rows
+from .wordgrams import class_counts, known_grams, plain_words, scored, sparse_rows
 
 
 @dataclass
 class OrdinalModel:
-    weights: dict[bytes, float]
+    weights: tuple[np.ndarray, np.ndarray]  # ascending word hashes, and their weights
     thresholds: list[float]
 
 
@@ -55,43 +55,42 @@ def fit_cumulative_link(y, start, cols, features: int, grades: int, l2: float =
     return w, gap[0] + np.concatenate([[0.0], np.cumsum(np.exp(gap[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: str = "toxic", train_on: Column | None = None, bound: int = 20_000, min_docs: int = 3, features: int = 4_000, z: float = 4.5) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: str = "toxic", train_on: Column | None = None, bound: int = 20_000, min_docs: int = 3, z: float = 4.5) -> OrdinalModel:
     """Fit on at most about `bound` graded texts, chosen by a hash of the id.
 
     `grade` counts from 0 (harmless). Where it holds only 0 and 1, grade 1 is divided: a text with more
     than the median number of marker words (those at least e^2 times likelier in grade 1) gets grade 2.
-    The words used are those whose shares among harmless and other texts differ by at least `z` standard
-    errors, at most `features` of them; where no word does, the 200 that come nearest.
-    Without two grades the model is empty and every expected severity is 0.
+    The words used are all those in at least `min_docs` texts whose shares among harmless and other texts differ by
+    at least `z` standard errors. Without two grades, or without such words, every expected severity is the same.
+    Repeated rows of an id count as often as they occur.
     """
     sample = bounded_labels(labels.where(train_on) if train_on is not None else labels, grade, bound, id_col)
     texts = labelled_texts(docs, sample, id_col, text_col)
     sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    none = np.empty(0, np.uint64), np.empty(0)
     if len(sizes) < 2 or 0 not in sizes:
-        return OrdinalModel({}, [500.0])
+        return OrdinalModel(none, [500.0])
     some = texts.withColumn("y", (F.col("y") > 0).cast("int"))
     n0, n1 = sizes[0], sum(sizes.values()) - sizes[0]
     pooled = (F.col("n0") + F.col("n1")) / (n0 + n1)
     differ = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n1 + 1 / n0))
-    counts = class_counts(some, plain_words, 2).where(F.col("n0") + F.col("n1") >= min_docs).withColumn("z", differ)
-    top = counts.orderBy(F.desc("z"), "gram").limit(features).collect()
-    top = [r for r in top if r["z"] >= z] or top[:200]
-    index = {bytes(r["gram"]): k for k, r in enumerate(top)}
+    index, c0, c1 = known_grams(class_counts(some, plain_words, 2).where((F.col("n0") + F.col("n1") >= min_docs) & (differ >= z)))
     y, start, cols = sparse_rows(texts, plain_words, index)
-    odds = np.array([np.log((r["n1"] + 0.5) / (n1 + 1)) - np.log((r["n0"] + 0.5) / (n0 + 1)) for r in top])
+    odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
     if max(sizes) == 1:
         strong = np.bincount(np.repeat(np.arange(len(y)), np.diff(start)), (odds >= 2)[cols], len(y))
         y = np.where(y == 1, 1 + (strong > np.median(strong[y == 1])), 0)
     grades = int(y.max()) + 1
-    w, theta = fit_cumulative_link(y, start, cols, len(top), max(grades, 2))
-    return OrdinalModel({g: float(w[k]) for g, k in index.items() if w[k]}, [float(x) for x in theta])
+    w, theta = fit_cumulative_link(y, start, cols, len(index), max(grades, 2))
+    return OrdinalModel((index, w), [float(x) for x in theta])
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """`(id_col, severity, grade, toxic)` for every row.
 
     severity is the expected grade, grade the likeliest one (of equals the lower), toxic whether the
-    probability of a grade above 0 is over `cut`. Null and empty texts are scored as texts without words.
+    probability of a grade above 0 is over `cut`. Null and empty texts are scored as texts without words;
+    repeated rows are scored alike; an empty table gives an empty one. Columns of `docs` that are not named are not read.
     """
     theta = np.array(model.thresholds)
 
