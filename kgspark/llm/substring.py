@@ -14,87 +14,25 @@ A window is `window` consecutive words; it is repeated if its words also start i
 4. What the parsing leaves undecided (windows whose first holder is not their anchor's first holder) is
    settled exactly by one grouping on window hashes. A window that some factor has covered needs no say
    there: its earliest holder is left undecided itself and is in the grouping.
+
+Windows are told apart by 64 bits of hash, equal stretches of a block by 64 bits and their number of words.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
-
-_P = 0x9E3779B97F4A7C15
-
-
-_GAP = re.compile(rb"[\t-\r ]")
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)  # a fixed number for each byte
-_POWERS: list[np.ndarray] = []
-
+from .common import join_few, stored, text_bytes
+from .wordhash import gram_hashes, joined_words, portions, word_edges, word_hashes
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, p, np.uint64)])) for p in (_P, pow(_P, -1, 1 << 64))]
-    return _POWERS
 
-
-def word_hashes(text: bytes, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word. A word's hash is a polynomial in its bytes, from differences of one running sum.
-
-    A text of over `most` bytes is taken in parts that end at a space, which bounds the arrays.
-    """
-    if len(text) > most:
-        parts, at = [], 0
-        while at < len(text):
-            space = _GAP.search(text, min(at + most, len(text)))
-            stop = space.end() if space else len(text)
-            h, start, end = word_hashes(text[at:stop], stop - at)
-            parts.append((h, start + at, end + at))
-            at = stop
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    raw = np.frombuffer(text, np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.empty(0, np.uint64), start, end
-    up, down = _powers(len(raw))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * up[: len(raw)])])
-    h = (run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32)), start, end
-
-
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive words, by their hashes; order counts."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    factors = _powers(k + 1)[0]
-    out = h[:n] * factors[1]
-    for j in range(1, k):
-        out += h[j : j + n] * factors[j + 1]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
-
-
-def hashed(pieces: list[bytes], k: int, window: int, most: int = 1 << 22):
-    """For each piece (words joined by one space) the hashes of its words, k-grams and windows; pieces are hashed many at a time."""
-    at = 0
-    while at < len(pieces):
-        stop, size = at, 0
-        while stop < len(pieces) and (stop == at or size + len(pieces[stop]) < most):
-            size += len(pieces[stop]) + 1
-            stop += 1
+def hashed(pieces: list[bytes], k: int, window: int):
+    """For each piece (words joined by one space) the hashes of its words, k-grams and windows; many pieces are hashed together."""
+    for at, stop in portions(pieces, 1 << 22):
         h = word_hashes(b" ".join(pieces[at:stop]))[0]
         grams, windows = gram_hashes(h, k), gram_hashes(h, window)
         base = 0
@@ -102,7 +40,6 @@ def hashed(pieces: list[bytes], k: int, window: int, most: int = 1 << 22):
             n = p.count(b" ") + 1
             yield h[base : base + n], grams[base : base + max(0, n - k + 1)], windows[base : base + max(0, n - window + 1)]
             base += n
-        at = stop
 
 
 def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -114,16 +51,19 @@ def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (w - width)], x[w - width :]) if width < w else x
 
 
-def anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-grams that are least in some window; all of several equal ones."""
-    g = gram_hashes(h, k)
-    w = window - k + 1
+def anchors(texts: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and hash of the k-grams that are least in some window of a text; all of several equal ones."""
+    _, h, of = joined_words(texts)
+    g, w = gram_hashes(h, k), window - k + 1
     if len(g) < w:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    least = sliding(g, w, np.minimum)
+    least[of[window - 1 :] != of[: len(least)]] = 0  # runs from one text into the next
     wide = np.zeros(len(g) + w - 1, np.uint64)
-    wide[w - 1 : len(g)] = sliding(g, w, np.minimum)
+    wide[w - 1 : len(g)] = least
     at = np.flatnonzero(sliding(wide, w, np.maximum) == g)
-    return at, g[at]
+    first = np.searchsorted(of, np.arange(len(texts)))
+    return of[at], at - first[of[at]], g[at]
 
 
 def stretches(places: np.ndarray, n: int, window: int, k: int) -> list[tuple[int, int]]:
@@ -138,6 +78,46 @@ def stretches(places: np.ndarray, n: int, window: int, k: int) -> list[tuple[int
     return [(a, b) for a, b in out]
 
 
+class Automaton:
+    """Suffix automaton of a block's words: walking it from the root spells the block's factors, however often they stand there."""
+
+    def __init__(self, words: list[int]):
+        self.next: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in words:
+            made, p = len(length), last
+            self.next.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            while p >= 0 and c not in self.next[p]:
+                self.next[p][c] = made
+                p = link[p]
+            if p >= 0:
+                q = self.next[p][c]
+                if length[q] > length[p] + 1:
+                    copy = len(length)
+                    self.next.append(dict(self.next[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    link[q] = copy
+                    while p >= 0 and self.next[p].get(c) == q:
+                        self.next[p][c] = copy
+                        p = link[p]
+                    q = copy
+                link[made] = q
+            last = made
+
+    def longest(self, words: list[int], i: int) -> int:
+        """Length of the longest factor that starts at place i."""
+        state, m = 0, i
+        while m < len(words):
+            state = self.next[state].get(words[m])
+            if state is None:
+                break
+            m += 1
+        return m - i
+
+
 class Block:
     """One reference block: its words' hashes, and where each k-gram and which windows stand in it."""
 
@@ -146,6 +126,7 @@ class Block:
         self.words: list[int] = []
         self.at: dict[int, list[int]] = {}
         self.windows: set[int] = set()
+        self.automaton: Automaton | None = None
 
     def add(self, h: np.ndarray, grams: np.ndarray, windows: np.ndarray) -> None:
         base = len(self.words)
@@ -154,13 +135,25 @@ class Block:
         self.windows.update(windows.tolist())
         self.words += h.tolist()
         self.words.append(-1)  # factors do not run from one stretch into the next
+        self.automaton = None
 
     def factors(self, h: np.ndarray, grams: np.ndarray) -> list[tuple[int, int]]:
-        """Greedy parse: (start, length) of the longest factor at each step; length 1 where nothing matches."""
+        """Greedy parse: (start, length) of the longest factor at each step; length 1 where nothing matches.
+
+        A factor is looked for at the places of its first k-gram. Where these are too many (a text that repeats
+        itself) the block's automaton takes over, which finds the same factors in steps of one word.
+        """
         words, grams, out, i, n = h.tolist(), grams.tolist(), [], 0, len(h)
+        tried, most = 0, 8 * (n + len(self.words))
         while i < n:
             best = 0
-            for r in self.at.get(grams[i], ()) if i < len(grams) else ():
+            places = self.at.get(grams[i], ()) if i < len(grams) else ()
+            tried += len(places)
+            if tried > most and places:
+                if self.automaton is None:
+                    self.automaton = Automaton(self.words)
+                best, places = self.automaton.longest(words, i), ()
+            for r in places:
                 if best and (r + best >= len(self.words) or self.words[r + best] != words[i + best]):
                     continue  # cannot become longer than the best so far
                 m = 0
@@ -168,6 +161,7 @@ class Block:
                     m = min(m + 64, n - i)
                 while i + m < n and self.words[r + m] == words[i + m]:
                     m += 1
+                tried += m // 8
                 if m > best:
                     best = m
                     if i + m == n:
@@ -202,12 +196,14 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def find_anchors(batches):
         for b in batches:
-            ids, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                g = np.unique(anchors(word_hashes(t)[0], window, k)[1])
-                ids.append(np.full(len(g), i, np.int64))
-                grams.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids))], names=["g", "id"])
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for x, y in portions(texts):
+                of, _, g = anchors(texts[x:y], window, k)
+                order = np.lexsort((g, of))
+                of, g = of[order], g[order]
+                first = np.ones(len(g), bool)
+                first[1:] = (g[1:] != g[:-1]) | (of[1:] != of[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(ids[x:y][of[first]])], names=["g", "id"])
 
     a = d.mapInArrow(find_anchors, "g long, id long")
     shared = a.groupBy("g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("g", "first")
@@ -215,13 +211,14 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches):
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("block", "key", "id", "start", "own", "words")}
+            out: dict[str, list] = {n: [] for n in ("block", "key", "n", "id", "start", "own", "words")}
             held = b.column(2)
             ends, held = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten()
             grams, firsts = held.field("g").to_numpy(), held.field("first").to_numpy()
-            for i, t, lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                h, first, last = word_hashes(t)
-                at, g = anchors(h, window, k)
+            texts = b.column(1).to_pylist()
+            places = [(at[u:v], g[u:v]) for x, y in portions(texts) for of, at, g in [anchors(texts[x:y], window, k)] for edge in [np.searchsorted(of, np.arange(y - x + 1))] for u, v in zip(edge[:-1], edge[1:], strict=True)]
+            for i, t, lo, hi, (at, g) in zip(b.column(0).to_pylist(), texts, ends[:-1].tolist(), ends[1:].tolist(), places, strict=True):
+                first, last = word_edges(t)
                 order = np.argsort(grams[lo:hi])
                 mine, holder = grams[lo:hi][order], firsts[lo:hi][order]
                 where = np.minimum(np.searchsorted(mine, g.view(np.int64)), hi - lo - 1)
@@ -230,30 +227,32 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 order = np.argsort(holder, kind="stable")
                 at, holder = at[order], holder[order]
                 cuts = np.flatnonzero(np.diff(holder)) + 1
-                for f, places in zip(holder[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts), strict=True):
-                    for x, y in stretches(places, len(h), window, k):
+                for f, at in zip(holder[np.concatenate([[0], cuts])].tolist() if len(holder) else (), np.split(at, cuts)):
+                    for x, y in stretches(at, len(first), window, k):
                         piece = b" ".join(t[first[x] : last[y - 1]].split())
-                        for name, v in zip(out, (f, xxhash.xxh3_64_intdigest(piece) - (1 << 63), i, x, f == i, piece), strict=True):
+                        for name, v in zip(out, (f, xxhash.xxh3_64_intdigest(piece) - (1 << 63), y - x, i, x, f == i, piece), strict=True):
                             out[name].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    pieces = stored(d.join(mine, "id").mapInArrow(cut, "block long, key long, id long, start int, own boolean, words binary"))
+    pieces = stored(d.join(mine, "id").mapInArrow(cut, "block long, key long, n int, id long, start int, own boolean, words binary"))
     # equal stretches of one block are parsed once; a block with many is copied to as many tasks as it needs
-    others = pieces.where("NOT own").groupBy("block", "key").agg(F.first("words").alias("words"))
-    parts = others.groupBy("block").agg(F.ceil(F.count("*") / stretches_per_task).cast("int").alias("parts"))
-    dealt = others.join(parts, "block").select("block", F.pmod("key", "parts").cast("int").alias("part"), "key", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("start"), "words")
+    others = pieces.where("NOT own").groupBy("block", "key", "n").agg(F.first("words").alias("words"))
+    parts = others.groupBy("block").agg(F.ceil(F.count("*") / stretches_per_task).cast("int").alias("parts")).where("parts > 1")
+    dealt = join_few(others, parts, ["block"], "key")
+    part = F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = dealt.select("block", part.alias("part"), "key", "n", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("start"), "words")
     own = pieces.where("own").join(parts, "block", "left")
-    own = own.select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(None).cast("long").alias("key"), "id", "start", "words")
+    own = own.select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(None).cast("long").alias("key"), "n", "id", "start", "words")
     # references first (their key is null), then what is parsed against them
     rows = dealt.unionByName(own).repartition("block", "part").sortWithinPartitions("block", "part", F.col("key").asc_nulls_first())
 
     def parse(batches):
         now, block = None, None
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("block", "key", "id", "start", "found", "left")}
+            out: dict[str, list] = {n: [] for n in ("block", "key", "n", "id", "start", "found", "left")}
             columns = [c.to_pylist() for c in b.columns]
-            for f, part, key, i, start, (h, grams, g) in zip(*columns[:-1], hashed(columns[-1], k, window), strict=True):
+            for f, part, key, n, i, start, (h, grams, g) in zip(*columns[:-1], hashed(columns[-1], k, window), strict=True):
                 if now != (f, part):
                     now, block = (f, part), Block(window, k)
                 if key is None:
@@ -263,14 +262,15 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         continue
                 else:
                     found = block.repeated(h, grams, g)
-                for name, v in zip(out, (f, key, i, start, np.packbits(found).tobytes(), g[~found].tobytes()), strict=True):
+                for name, v in zip(out, (f, key, n, i, start, np.packbits(found).tobytes(), g[~found].tobytes()), strict=True):
                     out[name].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    parsed = stored(rows.mapInArrow(parse, "block long, key long, id long, start int, found binary, left binary"))
-    members = pieces.where("NOT own").select("block", "key", "id", "start").join(parsed.where("key IS NOT NULL").select("block", "key", "found", "left"), ["block", "key"])
-    judged = members.select("id", "start", "found", "left").unionByName(parsed.where("key IS NULL").select("id", "start", "found", "left"))
+    parsed = stored(rows.mapInArrow(parse, "block long, key long, n int, id long, start int, found binary, left binary"))
+    said = ["found", "left"]
+    members = pieces.where("NOT own").select("block", "key", "n", "id", "start").join(parsed.where("key IS NOT NULL").select("block", "key", "n", *said), ["block", "key", "n"])
+    judged = members.select("id", "start", *said).unionByName(parsed.where("key IS NULL").select("id", "start", *said))
 
     def undecided(batches):
         for b in batches:

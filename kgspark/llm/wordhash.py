@@ -60,12 +60,12 @@ def word_hashes(text: bytes, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarra
     return mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)), start, end
 
 
-def gram_hashes(h: np.ndarray, k: int, step: int = 0) -> np.ndarray:
-    """Hash of every k consecutive words, by their hashes; order counts. Another `step` gives an independent hash."""
+def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k consecutive words, by their hashes; order counts."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    factors = powers(k + 1 + step * k)[0][step * k :]
+    factors = powers(k + 1)[0]
     out = h[:n] * factors[1]
     for j in range(1, k):
         out += h[j : j + n] * factors[j + 1]
