@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from ..operators.order import numbered
+from .common import WORD, stored
 
 CAP = 3  #: most copies of a source's words
 
@@ -22,19 +23,24 @@ def targets(sizes: DataFrame, weight_of_rank: Column | None = None, cap: int = C
 
     Sources by code point, null last, weigh 1, 2, 3, repeating (or `weight_of_rank`, an expression over
     `rank` from 0). All targets together are all words. A target stops at `cap` times its source's size
-    and the excess goes to the others by weight: the level at which this ends is found by taking sources
-    in order of size per weight. The table has a row per source, so its windows are small.
+    and the excess goes to the others by weight. The level, words for each unit of weight, is found in rounds: each
+    is one aggregate over the sources and takes out those whose cap lies under the level so far. It only rises, so
+    the rounds end; the sources, which may be millions of hosts, never meet in one task.
     """
     w = weight_of_rank if weight_of_rank is not None else F.pmod(F.col("rank"), F.lit(3)) + 1
-    t = sizes.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1)
-    t = t.withColumn("weight", w.cast("long")).withColumn("most", F.lit(cap) * F.col("source_size"))
-    every = W.partitionBy(F.lit(0))
-    upto = every.orderBy((F.col("most") / F.col("weight")).asc(), "rank").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(upto), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0))))
-    # the sources whose cap lies under the level reached when they come up are full; the first other fixes the level
-    t = t.withColumn("full", F.col("most") <= F.col("level") * F.col("weight"))
-    t = t.withColumn("open", F.min(F.when(~F.col("full"), F.struct(F.col("most") / F.col("weight"), F.col("rank"), F.col("level")))).over(every))
-    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("open.level") * F.col("weight"))
+    t = numbered(sizes, [F.col("source").asc_nulls_last()], "place").withColumn("rank", F.col("place") - 1)
+    t = stored(t.select("source", "source_size", w.cast("long").alias("weight"), (F.lit(cap) * F.col("source_size")).alias("most")))
+    level, full = 0.0, -1
+    while True:
+        under = F.col("most") <= F.lit(level) * F.col("weight")
+        taken = F.when(under, 1)
+        n, every, most, weight, out = t.agg(F.count(taken), F.sum("source_size"), F.sum(F.col("most") * taken), F.sum("weight"), F.sum(F.col("weight") * taken)).first()
+        if n == full or weight is None:
+            break
+        left = weight - (out or 0)
+        # integers are divided as the same expression over columns would be
+        full, level = n, float(every - (most or 0)) / left if left else level
+    target = F.when(F.col("most") <= F.lit(level) * F.col("weight"), F.col("most").cast("double")).otherwise(F.lit(level) * F.col("weight"))
     return t.select("source", "source_size", target.alias("target"))
 
 
@@ -55,10 +61,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are numbered. So a source with a third of all rows is spread over thousands of buckets.
     """
     hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    d = docs.select(
+    # the texts are read once; what follows works on this narrow table
+    d = stored(docs.select(
         F.col(id_col).alias("mix_id"), F.col(source_col).alias("source"), hashed.alias("h"), F.substring(hashed, 1, 2).alias("h2"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+    ))
     buckets = d.groupBy("source", "size", "h2").agg(F.count("*").alias("n"))
     sources = buckets.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     t = targets(sources).withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))

@@ -6,9 +6,11 @@
    every bucket would hold a share of all fingerprints). So a second proposal completes it:
 3. Every node has `BANDS` keys of `ROWS` minima over its shingle hashes. Sets of similarity 0.8 share a key with
    probability 1 - (1 - 0.8^4)^25, all but two in a million. Each key's nodes are first compared with one of them,
-   chosen anew for each key, which joins a large cluster by a few edges for each node. Nodes of a key that are still
-   in different components are then compared in pairs, so that every pair with a common key is compared or joined.
-4. A link is an exact comparison: common shingles over all shingles of both.
+   chosen anew for each key, which joins a large cluster by a few edges for each node.
+4. Keys whose nodes are still in different components are settled by groups of nodes that such keys hold together. A
+   task compares up to `group_rows` nodes by a matrix product and reports a spanning forest, never pairs; a larger
+   group is cut into parts that meet two by two. So every pair with a common key is compared or already joined.
+5. A link is an exact comparison: common shingles over all shingles of both.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import join_few, stored, text_bytes
 from .components import connected_components
 from .simhash import _signed, links, majority, shingle_hashes
 
@@ -93,7 +95,7 @@ def proposed(keyed: DataFrame, d: int) -> DataFrame:
     return alike.where("a <> b").unionByName(near)
 
 
-def components(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, d: int = 4, seed: int = 42) -> DataFrame:
+def components(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, d: int = 4, seed: int = 42, group_rows: int = 1000) -> DataFrame:
     """`(node, root)` for every node that is linked to another, directly or through others.
 
     Nodes whose sets of `shingle`-word shingles have a Jaccard similarity of at least `similarity` are linked. Texts
@@ -116,9 +118,75 @@ def components(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
     sets = stored(_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), shingle, seed))
     linked = stored(_alike(first, sets, similarity))
     label = connected_components(linked)
-    now = met.join(label, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    now = stored(now.join(mixed, "key", "left_semi"))
-    x, y = now.toDF("key", "a", "na", "ra"), now.toDF("key", "b", "nb", "rb")
-    rest = x.join(y, "key").where("ra > rb").where(near_size("na", "nb")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return connected_components(linked.unionByName(_alike(rest, sets, similarity)))
+    now = met.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("least")).where("r0 <> r1").select("key", "least")
+    now = stored(now.join(mixed, "key"))
+    rest = now.select("node", "root").distinct()
+    groups = connected_components(now.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    rest = stored(rest.join(groups.withColumnRenamed("root", "grp"), "node"))
+    cuts = rest.groupBy("grp").count().where(F.col("count") > group_rows).select("grp", F.ceil(2 * F.col("count") / group_rows).cast("long").alias("cuts"))
+    cut = join_few(rest, cuts, ["grp"], "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("cuts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda x: x != F.col("own"))
+    meets = F.when(F.col("cuts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(others, lambda x: F.least(x, "own") * F.col("cuts") + F.greatest(x, "own")))
+    rows = cut.select("grp", F.explode(meets).alias("meet"), "node", "root").join(sets, "node").select("grp", "meet", "node", "root", "held")
+    rows = rows.repartition("grp", "meet").sortWithinPartitions("grp", "meet")
+    return connected_components(linked.unionByName(rows.mapInArrow(lambda batches: _compared(batches, similarity), "a long, b long")))
+
+
+def _compared(batches, similarity: float):
+    """Edges of each group's forest; rows come sorted by group, and a group may span batches."""
+    now, nodes, roots, sets = None, [], [], []
+    for b in batches:
+        a, z = [], []
+        keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        held = b.column(4)
+        ends, flat = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten().to_numpy()
+        for k, key in enumerate(keys):
+            if key != now and nodes:
+                for x, y in forest(nodes, roots, sets, similarity):
+                    a.append(x)
+                    z.append(y)
+                nodes, roots, sets = [], [], []
+            now = key
+            nodes.append(b.column(2)[k].as_py())
+            roots.append(b.column(3)[k].as_py())
+            sets.append(flat[ends[k] : ends[k + 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+    pairs = forest(nodes, roots, sets, similarity)
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+
+def forest(nodes: list[int], roots: list[int], sets: list[np.ndarray], similarity: float, width: int = 4096) -> list[tuple[int, int]]:
+    """Edges that join what the exact similarities of all pairs join, beyond nodes of one root. Common shingles are counted by a matrix product, `width` shingles at a time."""
+    if len(set(roots)) < 2:
+        return []
+    n = len(nodes)
+    of = np.repeat(np.arange(n), [len(x) for x in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # a shingle of one node is common to no pair
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    of, column = of[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(shared.sum()), width):
+        x, y = np.searchsorted(column, [low, low + width])
+        part = np.zeros((n, width), np.float32)
+        part[of[x:y], column[x:y] - low] = 1
+        both += part @ part.T
+    size = np.array([len(x) for x in sets], np.float32)
+    near = both >= similarity * (size[:, None] + size[None, :] - both)
+    label = np.unique(roots, return_inverse=True)[1]
+    near |= label[:, None] == label[None, :]
+    first, label = label, np.arange(n)
+    while True:
+        least = np.where(near, label[None, :], n).min(axis=1)
+        if np.array_equal(least, label):
+            break
+        label = least
+    out = {}
+    for k in range(n):
+        if first[k] != first[label[k]]:
+            out[first[k], label[k]] = (nodes[k], nodes[label[k]])
+    return list(out.values())

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kgspark.llm import decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls
+from kgspark.llm import decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls, wordgrams, wordhash
 from kgspark.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, spans string, score int, y string, fp int, h string"
@@ -96,10 +97,10 @@ def test_substring_edges(spark, docs, none, repeated):
 @given(st.text(alphabet="ab é\t\n\x0b", max_size=80), st.integers(1, 20))
 def test_word_hashes(t, most):
     b = t.encode()
-    h, start, end = substring.word_hashes(b)
+    h, start, end = wordhash.word_hashes(b)
     assert [b[x:y] for x, y in zip(start, end, strict=True)] == b.split()
     assert len(set(h.tolist())) == len(set(b.split()))
-    assert all(np.array_equal(x, y) for x, y in zip(substring.word_hashes(b, most), (h, start, end), strict=True))
+    assert all(np.array_equal(x, y) for x, y in zip(wordhash.word_hashes(b, most), (h, start, end), strict=True))
 
 
 def test_substring_random(spark):
@@ -126,6 +127,34 @@ def test_substring_random(spark):
             assert len(hit) == gone, (i, n)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("ab"), min_size=5, max_size=60), st.lists(st.sampled_from("abc"), min_size=5, max_size=60))
+def test_automaton_and_places_find_the_same_factors(own, other):
+    def block():
+        b = substring.Block(13, 3)
+        for x in substring.hashed([" ".join(own).encode()], 3, 13):
+            b.add(*x)
+        return b
+
+    ((h, grams, _),) = substring.hashed([" ".join(other).encode()], 3, 13)
+    plain = block().factors(h, grams)
+    walked, words_ = block(), h.tolist()
+    sam = substring.Automaton(walked.words)
+    for i, m in plain:
+        longest = sam.longest(words_, i)
+        assert m == (longest if longest >= 3 else 1)
+
+
+def test_factor_search_is_linear_on_repetitive_text():
+    block = substring.Block(13, 5)
+    for x in substring.hashed([" ".join(f"a a a a a x{j}" for j in range(20_000)).encode()], 5, 13):
+        block.add(*x)
+    for x in substring.hashed([" ".join(f"a a a a a y{j}" for j in range(20_000)).encode()], 5, 13):
+        began = time.process_time()
+        assert not block.repeated(*x).any()
+    assert time.process_time() - began < 20
+
+
 # ---- SimHash
 
 
@@ -185,7 +214,7 @@ def test_gray_index(n):
     assert pair(top.tolist()) == len(set(want)) == len(set(top.tolist()))
 
 
-@pytest.mark.parametrize("bucket_rows", [16_384, 10])
+@pytest.mark.parametrize("bucket_rows", [16_384, 10, 3])
 def test_links_keep_components(spark, bucket_rows):
     fps = clustered(random.Random(4), 400)
     df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
@@ -229,7 +258,7 @@ def brute_leaks(t, items, n=10):
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=14), max_size=5), st.lists(st.sampled_from("abcde"), max_size=60), st.integers(2, 5))
 def test_automaton(items, text, window):
     named = [(str(k), " ".join(x)) for k, x in enumerate(items)]
-    sam = decontaminate.ItemAutomaton([(k, x.encode()) for k, x in named], window)
+    sam = decontaminate.ItemAutomaton(decontaminate.build([(k, x.encode()) for k, x in named], window), window)
     found, names = sam.hits(text_words := [w.encode() for w in text])
     assert (len(text_words), sum(b - a for a, b in found), sorted(names)) == brute_leaks(" ".join(text), named, window)
 
@@ -237,11 +266,15 @@ def test_automaton(items, text, window):
 def test_leaks_edges(spark, docs, none, repeated):
     items = [(1, PASSAGE), (2, "ONE"), (3, None), (4, ""), (5, "alpha beta, gamma. Delta"), (6, PASSAGE), (None, "b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    named = [(str(i), t) for i, t in items if i is not None]
-    want = {i: brute_leaks(t, named) for i, t in enumerate(TEXTS)}
+    # an item without an id hits but is not named
+    named = [("" if i is None else str(i), t) for i, t in items]
+    want = {i: (n, hit, [x for x in names if x]) for i, (n, hit, names) in ((i, brute_leaks(t, named)) for i, t in enumerate(TEXTS))}
     for block in (2_000_000, 10):
         got = rows(decontaminate.leaks(docs, bench, block_words=block))
         assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in got.items()} == want
+    long = spark.createDataFrame([(9, " ".join(f"q{i}" for i in range(95)))], "item_id long, text string")
+    part = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20, 60)))], "doc_id long, text string")
+    assert [r.n_hit for r in decontaminate.leaks(part, long, block_words=15).collect()] == [40]
     assert decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.leaks(repeated, bench).count() == 2 * len(TEXTS)
     free = decontaminate.leaks(docs, bench.limit(0))
@@ -292,6 +325,41 @@ def test_em_learns_reliable_labelers():
     assert model.probability(patterns[4][0]) > 0.5
 
 
+def test_loose_spans_by_votes(spark):
+    """Planted spellings that the fixed patterns do not know, and look-alikes: precision and recall of what the method adds."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts, want = [], {}
+    for i in range(900):
+        words_ = [rng.choice(["green", "table", "river", "window", "paper"]) for _ in range(12)]
+        kind = i % 6
+        if kind == 0:
+            s, cue = f"{rng.choice('abcdef')}{digits(2)} (at) mail (dot) example (dot) com".replace(" (dot) example", ""), "contact"
+        elif kind == 1:
+            s, cue = f"({rng.randrange(201, 989)}) 555-{digits(4)}", "phone"
+        elif kind == 2:
+            s, cue = f"{rng.randrange(101, 650)}-{digits(2)}-{digits(4)}", "social"
+        elif kind == 3:
+            s, cue = f"{rng.randrange(101, 650)}-{digits(3)}-{digits(4)}", "invoice order"
+        else:
+            s, cue = rng.choice([f"me{i}@mail.example.org", f"+1 305 555 {digits(4)}"]), "write"
+        words_[6:6] = [cue, s]
+        texts.append((i, " ".join(words_)))
+        if kind < 3:
+            want[i] = kind
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    added = {r.doc_id for r in pii.find(df, pii.fit(df)).collect() if r.spans != r.base}
+    hit = len(added & set(want))
+    # the labelers have no opinion that parts an order number of ten digits from a telephone number but its context
+    assert hit >= 0.9 * len(want) and hit >= 0.7 * len(added), (hit, len(added), len(want))
+
+
+def test_long_spans_are_judged_whole():
+    text = "mail " + "a" * 400 + "@" + "b" * 300 + ".org"
+    assert pii.candidates(text)[0][:4] == (0, 5, len(text), True)
+    assert pii.candidates(text)[0][4].split()[2] == "1"  # the known ending is behind 256 signs
+
+
 # ---- rules
 
 
@@ -375,6 +443,63 @@ def test_random_tokens_are_found(spark):
     assert len(found & set(planted)) >= 0.9 * len(planted) and len(found - set(planted)) <= 4
 
 
+def test_keys_without_digits_and_in_base32_are_found(spark):
+    rng = random.Random(15)
+    prose = [" ".join(rng.choice(["the", "house", "garden", "over", "river", "walking", "seven", "people", "under", "morning"]) for _ in range(80)) for _ in range(600)]
+    planted = {}
+    for i in range(0, 600, 15):
+        signs = secrets.ALPHABETS["base64"][:52] if i % 2 else secrets.ALPHABETS["base32"]
+        planted[i] = "".join(rng.choice(signs) for _ in range(44))
+        prose[i] += " " + planted[i]
+    prose[1] += " " + "internationalisationcommittees " * 3
+    df = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    got = rows(secrets.scan(df, secrets.fit(df)))
+    found = {i for i, r in got.items() if "random" in r.spans}
+    assert len(found & set(planted)) >= 0.9 * len(planted) and len(found - set(planted)) <= 4
+
+
+def brute_score(token):
+    x = re.sub("=+$", "", token.translate(str.maketrans("_-", "/+")))
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x) else "base32" if re.fullmatch("[A-Z2-7]+", x) else "base64"
+    signs = secrets.ALPHABETS[kind]
+    x = x.lower() if kind == "hex" else x
+    n, k, c = len(x), len(signs), [signs.find(s) + 1 for s in x]
+    chi = max(0.0, (k / n * sum(v * v for v in Counter(x).values()) - n - (k - 1)) / (2 * (k - 1)) ** 0.5)
+    high = [v > k / 2 for v in c]
+    up, both = sum(high), 2 * sum(high) * (n - sum(high))
+    spread = both * (both - n) / (n * n * (n - 1))
+    runs = 1 + sum(p != q for p, q in zip(high, high[1:]))
+    z_runs = (runs - both / n - 1) / spread**0.5 if spread > 0 else n**0.5
+    m = sum(c) / n
+    square = sum((v - m) ** 2 for v in c)
+    z_serial = sum((p - m) * (q - m) for p, q in zip(c, c[1:])) / square * n**0.5 if square > 1e-9 else n**0.5
+    return min(chi**2 + z_runs**2 + z_serial**2, secrets.TOP * secrets.STEP) / secrets.STEP
+
+
+def test_score_bins(spark):
+    rng = random.Random(2)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 80))) for a in (*secrets.ALPHABETS.values(), "abcdefghij", "aB3=_-/+", "A") for _ in range(25)]
+    df = spark.createDataFrame([(t,) for t in tokens if len(t.strip("=")) >= 8], "t string")
+    for r in df.select("t", secrets.score_bin(df["t"]).alias("b")).collect():
+        assert abs(r.b + 0.5 - max(0.5, brute_score(r.t))) <= 0.51 or r.b == secrets.TOP == round(brute_score(r.t)), r.t
+
+
+def test_natural_text_is_cut_whole(spark):
+    texts = ["ab1 " * 500, "", None, "x" * 30, "é" + "q" * 21]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter(len(r.token) for r in secrets.natural(df).collect())
+    assert got == {22: 5, 28: 5, 36: 5, 48: 5, 66: 5}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    one = "0123456789abcdef01234567"
+    text = " ".join(f"{one}{k % 10} secret=abcdef{k} {one}Z" for k in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = secrets.scan(df, [secrets.TOP - 1] * 5).first()
+    assert (r.n_hex, r.n_assign) == (100_000, 50_000) and r.base == brute_secrets(text)
+    assert r.spans.count("random") == 50_000  # the token with the Z is longer than the base span in it
+
+
 # ---- classifiers
 
 
@@ -418,6 +543,65 @@ def test_toxicity(labelled, docs, none):
     assert all(r.severity == pytest.approx(0) and not r.toxic for r in toxicity.score(docs, empty).collect())
 
 
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Against plain gradient descent on the primal: squared hinge, classes of equal total cost."""
+    rng = np.random.default_rng(4)
+    x = rng.random((80, 6)) < 0.4
+    y = np.where(x @ np.array([2.0, -1, 1, 0, 0, -2]) + rng.normal(0, 0.7, 80) > 0.2, 1.0, -1.0)
+    values = rng.uniform(0.5, 1.5, 6)
+    w = quality.dual_coordinate_descent(y, [np.flatnonzero(r) for r in x], values, epochs=3000)
+    dense = np.hstack([x * values, np.ones((80, 1))])
+    cost = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (dense @ v)) ** 2).sum()
+    v = np.zeros(7)
+    for _ in range(30_000):
+        v -= 0.001 * (v - 2 * dense.T @ (cost * y * np.maximum(0, 1 - y * (dense @ v))))
+    assert loss(w) <= loss(v) + 1e-3 and np.abs(w - v).max() < 0.02
+
+
+def test_cumulative_link_reaches_the_optimum():
+    """Against a plain search on the same objective with numeric gradients."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((120, 3)) < 0.5).astype(float)
+    y = np.digitize(x @ np.array([1.5, -1, 0.5]) + rng.logistic(0, 0.7, 120), [0.0, 1.0])
+    weight = (120 / (3 * np.bincount(y)))[y] / 120
+
+    def loss(p):
+        theta = np.concatenate([[-np.inf], [p[3], p[3] + np.exp(p[4])], [np.inf]])
+        cdf = 1 / (1 + np.exp(-(theta[None, :] - (x @ p[:3])[:, None])))
+        return -(weight * np.log(cdf[np.arange(120), y + 1] - cdf[np.arange(120), y])).sum() + 0.0005 * p[:3] @ p[:3]
+
+    start = np.concatenate([[0], np.cumsum(x.sum(axis=1))]).astype(int)
+    w, theta = toxicity.fit_cumulative_link(y, start, np.nonzero(x)[1], 3, 3, steps=3000, rate=0.02)
+    mine = np.array([*w, theta[0], np.log(theta[1] - theta[0])])
+    p = np.zeros(5)
+    for _ in range(4000):
+        g = np.array([(loss(p + 1e-5 * e) - loss(p - 1e-5 * e)) / 2e-5 for e in np.eye(5)])
+        p -= 0.5 * g
+    assert loss(mine) <= loss(p) + 1e-4 and np.abs(mine - p).max() < 0.05
+
+
+@pytest.mark.parametrize("grams", [wordgrams.plain_words, wordgrams.shape_and_word_grams])
+def test_grams_of_many_texts_are_those_of_each(grams):
+    texts = [(t or "").encode() for t in TEXTS]
+    h, at = grams(texts)
+    for k, t in enumerate(texts):
+        one, zero = grams([t])
+        assert set(h[at == k].tolist()) == set(one.tolist()) and not zero.any()
+    assert set(wordgrams.shape_and_word_grams([b"aB aB x 12"])[0].tolist()) != set(wordgrams.shape_and_word_grams([b"aB x aB 12"])[0].tolist())
+
+
+def test_classifiers_take_repeated_rows_and_no_words(spark, labelled, repeated, none):
+    for model, score in ((quality.fit(labelled, labelled), quality.score), (toxicity.fit(labelled, labelled), toxicity.score)):
+        by = {}
+        for r in score(repeated, model).collect():
+            assert by.setdefault(r.doc_id, r) == r
+        assert score(none, model).count() == 0
+    twice = labelled.unionByName(labelled)
+    assert quality.fit(twice, twice).slope > 0
+    assert len(quality.fit(none, labelled).weights[0]) == 0 and toxicity.fit(none, labelled).thresholds == [500.0]
+
+
 def test_cumulative_link_orders_grades():
     rng = np.random.default_rng(1)
     x = rng.random((600, 5)) < 0.4
@@ -435,7 +619,7 @@ def test_cumulative_link_orders_grades():
 def test_urls(spark):
     pages = [
         (0, None), (1, ""), (2, "no scheme/net/"), (3, "http://EXAMPLE.net/en/x?y#z"), (4, "https://www.example.net/de/"), (5, "https://a.example.com/de/1"),
-        (6, "http://x.org/fr/2#net/"), (7, "http://fakenet/"), (8, "http://free-bets.example.com/en/9"), (9, "http://blog.therst.example.org/en/33.html"), (10, "http://É.net?x://y/z"), (11, "a://b://c/d"), (11, "a://b://c/d"), (12, "http://net/"), (13, "http://net"),
+        (6, "http://x.org/fr/2#net/"), (7, "http://fakenet/"), (8, "http://online-casino-jackpots.example.com/en/9"), (9, "http://blog.village-library.example.org/en/33.html"), (10, "http://É.net?x://y/z"), (11, "a://b://c/d"), (11, "a://b://c/d"), (12, "http://net/"), (13, "http://net"),
     ]
     df = spark.createDataFrame([(*p, "host", "path", 1.0) for p in pages], "page_id long, url string, host string, path string, score double")
     model = urls.fit(urls.training_urls(spark))

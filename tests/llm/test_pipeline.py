@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from kgspark.llm import simhash_sets
 from kgspark.llm.common import checkpointed
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,27 @@ def test_near_duplicates_at_similarity_0_8(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_of_a_hub(spark):
+    """Copies that are alike to one text only, not to each other; in one task and in parts that meet."""
+    rng = random.Random(5)
+    base = [f"h{i}" for i in range(200)]
+    texts = [" ".join(base)] + [changed([*base], {rng.randrange(4, 196) for _ in range(4)}).replace("new", f"n{k}x") for k in range(40)]
+    texts += [" ".join(f"z{k}q{i}" for i in range(60)) for k in range(5)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard_of(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 2 < len(set(root)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (1000, 8):
+        named = docs.select("doc_id", simhash_sets.node_of("text").alias("node")).join(simhash_sets.components(docs, group_rows=rows), "node", "left")
+        got = {r.doc_id: r.root if r.root is not None else r.node for r in named.collect()}
+        pairs = {(got[i], root[i]) for i in range(len(texts))}
+        assert len(pairs) == len(set(root)) == len({a for a, _ in pairs})
+
+
 def test_near_duplicates_keep_rows_without_or_with_shared_ids(spark):
     text = {k: " ".join(f"{k}{i}" for i in range(50)) for k in "abcdef"}
     rows = [(None, "a"), (None, "b"), (1, "b"), (2, "c"), (2, "d"), (2, "d"), (None, "e"), (None, "e"), (3, "f"), (2, "f")]
@@ -72,3 +94,16 @@ def test_mixing_takes_rows_without_or_with_shared_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.mixing_stage(spark, docs, SF).collect()
     assert sorted((r.text, r.copy) for r in got) == [(t, 1) for _, t in rows]
+
+
+def test_stages_take_awkward_rows(spark):
+    text = " ".join(f"plain{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, text), (3, text), (3, text + " more"), (None, text + " other"), (4, "word " * 200_000)]
+    docs = spark.createDataFrame([(i, t, "en", None, None, "x", 1.0, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node string, score double, copies int")
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, SF)
+        assert got.columns == [*corpus_pipeline.COLUMNS, *(["copy"] if k == 4 else [])], name
+        assert got.count() <= 3 * len(rows), name
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, stage(spark, docs.repartition(5), SF).collect())), name
+        assert stage(spark, empty, SF).count() == 0, name
