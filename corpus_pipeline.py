@@ -51,7 +51,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, with a column `copy` from 1; documents not taken are absent."""
     # rows without an id, or with a shared one, are told apart by their texts
-    docs = docs.withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    docs = docs.select(*COLUMNS).withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
     taken = mixing.mix(docs, id_col="row").where("copies > 0").groupBy("row").agg(F.max("copies").alias("copies"))
     return docs.join(taken, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
