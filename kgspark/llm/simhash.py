@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_few, text_bytes
+from .common import checkpointed, join_few, stored, text_bytes
 from .components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -174,7 +174,8 @@ def links(fps: DataFrame, d: int = 4, bucket_rows: int = 16_384) -> DataFrame:
     parts = d + 1
     first = _blocks(list(range(64)), parts)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in first])).alias("block", "value"))
-    sizes = keyed.groupBy("block", "value").count().where(F.col("count") > bucket_rows).select("block", "value", F.lit(True).alias("hot"))
+    # stored, so that Spark knows how few they are and need not shuffle all fingerprints to meet them
+    sizes = stored(keyed.groupBy("block", "value").count().where(F.col("count") > bucket_rows).select("block", "value", F.lit(True).alias("hot")))
     dealt = join_few(keyed, sizes, ["block", "value"], "fp")
     again = []
     for m in first:
@@ -186,7 +187,7 @@ def links(fps: DataFrame, d: int = 4, bucket_rows: int = 16_384) -> DataFrame:
 
     # what is still too large is cut into parts that meet two by two
     twice = ["block", "value", "block2", "value2"]
-    large = hot.groupBy(*twice).count().where(F.col("count") > bucket_rows).select(*twice, F.ceil(2 * F.col("count") / bucket_rows).cast("long").alias("cuts"))
+    large = stored(hot.groupBy(*twice).count().where(F.col("count") > bucket_rows).select(*twice, F.ceil(2 * F.col("count") / bucket_rows).cast("long").alias("cuts")))
     cut = join_few(hot, large, twice, "fp").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("cuts")))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda x: x != F.col("own"))
     meets = F.when(F.col("cuts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(others, lambda x: F.least(x, "own") * F.col("cuts") + F.greatest(x, "own")))
@@ -237,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty one. Columns of `docs` other than the two named are not read.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
-    least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    least = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
     label = connected_components(links(least.select("fp"), d, bucket_rows)).withColumnRenamed("node", "fp")
     linked = checkpointed(least.join(label, "fp"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -88,7 +88,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def proposed(keyed: DataFrame, d: int) -> DataFrame:
     """Pairs `(a, b)` of nodes by their fingerprints: nodes of one fingerprint with the least of them, and the index's links between fingerprints."""
-    least = keyed.groupBy("fp").agg(F.min("node").alias("rep"))
+    least = stored(keyed.groupBy("fp").agg(F.min("node").alias("rep")))
     alike = keyed.join(least, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     x, y = least.toDF("a", "ra"), least.toDF("b", "rb")
     near = links(least.select("fp"), d).join(x, "a").join(y, "b").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
@@ -130,7 +130,9 @@ def components(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
     meets = F.when(F.col("cuts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(others, lambda x: F.least(x, "own") * F.col("cuts") + F.greatest(x, "own")))
     rows = cut.select("grp", F.explode(meets).alias("meet"), "node", "root").join(sets, "node").select("grp", "meet", "node", "root", "held")
     rows = rows.repartition("grp", "meet").sortWithinPartitions("grp", "meet")
-    return connected_components(linked.unionByName(rows.mapInArrow(lambda batches: _compared(batches, similarity), "a long, b long")))
+    more = rows.mapInArrow(lambda batches: _compared(batches, similarity), "a long, b long")
+    # what is joined already comes as stars, so that only the new edges need rounds
+    return connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def _compared(batches, similarity: float):
