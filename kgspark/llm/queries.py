@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls
+from . import collocations, decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls
 from .common import crc_fold, table
 
 
@@ -72,8 +72,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 highest-scoring phrases of two or three words."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, min_count=10, share=50, top=2000)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op6_substring, op7_simhash, op8_urls, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op6_substring, op7_simhash, op8_urls, op9_mixing, op10_decontamination, op11_collocations)}
 
 
 OP6_SQL = """
@@ -138,6 +143,37 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS
 FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP11_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+one AS (SELECT lang, unnest(w) AS phrase FROM w),
+two AS (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, CAST(len(w) AS BIGINT))) AS i FROM w WHERE len(w) >= 2)),
+three AS (SELECT lang, array_to_string(w[i : i + 2], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, CAST(len(w) - 1 AS BIGINT))) AS i FROM w WHERE len(w) >= 3)),
+f AS MATERIALIZED (
+  SELECT lang, phrase, count(*) AS f, 1 AS size FROM one GROUP BY lang, phrase UNION ALL
+  SELECT lang, phrase, count(*), 2 FROM two GROUP BY lang, phrase UNION ALL
+  SELECT lang, phrase, count(*), 3 FROM three GROUP BY lang, phrase),
+n AS (SELECT lang, count(*) AS n FROM one GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : size], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, cut.k, x.f AS l, y.f AS r,
+                  CAST((1000000::HUGEINT * cut.a * cut.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+           FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = cut.head JOIN f AS y ON y.lang = cut.lang AND y.phrase = cut.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE size = 3)
+  GROUP BY lang, phrase)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase, a, l, r, n.n, score
+FROM best JOIN n ON n.lang = best.lang LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+WHERE longer.longer IS NULL OR 100 * longer.longer < 50 * a
+QUALIFY row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring": OP6_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_substring": OP6_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_collocations": OP11_SQL}
