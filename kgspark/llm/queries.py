@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls
+from . import collocations, decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls, vptree
 from .common import crc_fold, table
 
 
@@ -77,8 +77,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, min_count=10, share=50, top=2000)
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all vectors for each whose id is divisible by 100, by exact search."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, relax=1.0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op6_substring, op7_simhash, op8_urls, op9_mixing, op10_decontamination, op11_collocations)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op6_substring, op7_simhash, op8_urls, op9_mixing, op10_decontamination, op11_collocations, op12_neighbours)}
 
 
 OP6_SQL = """
@@ -174,6 +180,16 @@ WHERE longer.longer IS NULL OR 100 * longer.longer < 50 * a
 QUALIFY row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) <= 2000
 """
 
+OP12_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - e.v[i]) * (q.v[i] - e.v[i])), lambda x, y: x + y)) AS score
+      FROM e AS q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring": OP6_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_collocations": OP11_SQL}
+    return {"op6_substring": OP6_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_collocations": OP11_SQL, "op12_neighbours": OP12_SQL}
