@@ -29,7 +29,7 @@ from .wordhash import mixed, portions
 _CUT = 0xFF  #: ends a piece; no byte of UTF-8
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else _CUT if c in b".,;:!?" or 10 <= c <= 13 else c for c in range(256))
 _TOKEN = re.compile(rb"\xff|[^\x20\x09\xff]+")
-_MOST = 1 << 23  #: bytes of text that are coded together
+_MOST = 1 << 21  #: bytes of text that are coded together
 
 
 def _tokens(folded: bytes) -> list[bytes]:
