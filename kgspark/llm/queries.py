@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls, vptree
+from . import balltree, collocations, decontaminate, mixing, pii, quality, rules, secrets, simhash, substring, toxicity, urls, vptree
 from .common import crc_fold, table
 
 
@@ -83,8 +83,13 @@ def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, relax=1.0)
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents that score highest for each test item."""
+    return balltree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op6_substring, op7_simhash, op8_urls, op9_mixing, op10_decontamination, op11_collocations, op12_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_rules, op4_secrets, op5_quality, op6_substring, op7_simhash, op8_urls, op9_mixing, op10_decontamination, op11_collocations, op12_neighbours, op13_ranked)}
 
 
 OP6_SQL = """
@@ -190,6 +195,28 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, v
 FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
 """
 
+OP13_SQL = """
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+i AS (SELECT row, item_id, unnest(w) AS term
+      FROM (SELECT row_number() OVER () AS row, item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM benchmark)),
+q AS (SELECT row, item_id, term, count(*) AS times FROM i GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM w WHERE len(w) > 0),
+m AS (SELECT row, doc_id, w, 100 - 75 + (75 * CAST(len(w) AS BIGINT) * n_docs) // n_terms AS m FROM w, s WHERE len(w) > 0),
+t AS MATERIALIZED (SELECT row, doc_id, m, term, count(*) AS tf FROM (SELECT row, doc_id, m, unnest(w) AS term FROM m)
+                   WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+d AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+      FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+r AS (SELECT q.row, item_id, t.row AS doc, doc_id, CAST(sum(weight * times * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN d USING (term) JOIN t USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring": OP6_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_collocations": OP11_SQL, "op12_neighbours": OP12_SQL}
+    return {"op6_substring": OP6_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_collocations": OP11_SQL, "op12_neighbours": OP12_SQL, "op13_ranked": OP13_SQL}
