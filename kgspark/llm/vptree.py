@@ -41,6 +41,13 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def pair_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same for each row of x and the row of y beside it, or the one row of y."""
+    d = x - y
+    d *= d
+    return np.sqrt(np.cumsum(d, axis=1)[:, -1])
+
+
 @dataclass
 class _Node:
     point: int = -1  # the vantage point; -1: a leaf
@@ -53,8 +60,9 @@ class _Node:
 class VantageTree:
     """A tree over the rows of `x`; row i stands for the ids `ids[i]`, ascending, `_FREE` where it has fewer."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = 32, relax: float = 1.0):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = 64, relax: float = 1.0):
         self.x, self.ids, self.leaf, self.relax = x, ids, leaf, relax
+        self.square = np.einsum("ij,ij->i", x, x)
         self.computed = 0  # distances, for tests and figures
         self.root = self._grown(np.arange(len(x)))
 
@@ -62,9 +70,9 @@ class VantageTree:
         if len(rows) <= self.leaf:
             return _Node(rows=rows)
         # the point far from an arbitrary one sees the widest spread of distances
-        far = int(np.argmax(distances(self.x[rows[:1]], self.x[rows])[0]))
+        far = int(np.argmax(pair_distances(self.x[rows], self.x[rows[:1]])))
         point, rest = rows[far], np.delete(rows, far)
-        d = distances(self.x[[point]], self.x[rest])[0]
+        d = pair_distances(self.x[rest], self.x[[point]])
         middle = float(np.median(d))
         near = d <= middle
         if near.all():  # all on one sphere: no split by distance
@@ -73,7 +81,7 @@ class VantageTree:
 
     def search(self, q: np.ndarray, best_d: np.ndarray, best_id: np.ndarray) -> None:
         """Betters the ascending lists `best_d`, `best_id` (one row for each query) by the tree's points."""
-        self.best_d, self.best_id, self.q = best_d, best_id, q
+        self.best_d, self.best_id, self.q, self.q_square = best_d, best_id, q, np.einsum("ij,ij->i", q, q)
         self._visit(self.root, np.arange(len(q)))
 
     def _take(self, of: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
@@ -93,23 +101,37 @@ class VantageTree:
         order = np.lexsort((new_id, new_d), axis=-1)[:, :k]
         self.best_d[of], self.best_id[of] = np.take_along_axis(new_d, order, 1), np.take_along_axis(new_id, order, 1)
 
+    def _leaf(self, rows: np.ndarray, of: np.ndarray) -> None:
+        """Squares by a matrix product tell, up to rounding, which pairs are close enough; those are measured."""
+        if not len(rows):
+            return
+        size = self.q_square[of][:, None] + self.square[rows][None, :]
+        most = self.best_d[of, -1:]
+        close = size - 2 * (self.q[of] @ self.x[rows].T) <= most * most * (1 + 1e-9) + 1e-11 * size
+        a, b = np.nonzero(close)
+        self.computed += close.size
+        if len(a):
+            d = np.full(close.shape, np.inf)
+            for at in range(0, len(a), 1 << 14):
+                x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                d[x, y] = pair_distances(self.q[of[x]], self.x[rows[y]])
+            self._take(of, rows, d)
+
     def _visit(self, node: _Node, of: np.ndarray) -> None:
         if not len(of):
             return
-        rows = node.rows if node.rows is not None else np.array([node.point])
-        if not len(rows):
-            return
-        d = distances(self.q[of], self.x[rows])
-        self.computed += d.size
-        self._take(of, rows, d)
         if node.rows is not None:
+            self._leaf(node.rows, of)
             return
-        gap = d[:, 0] - node.middle
+        d = pair_distances(self.q[of], self.x[[node.point]])
+        self.computed += len(d)
+        self._take(of, np.array([node.point]), d[:, None])
+        gap = d - node.middle
         first = gap <= 0
         for near, far, side in ((node.inside, node.outside, first), (node.outside, node.inside, ~first)):
             self._visit(near, of[side])
             # the far side lies at least |gap| away; it is open while that does not pass the distance to beat
-            left = _open(self.relax * np.abs(gap[side]), self.best_d[of[side], -1], d[side, 0] + node.middle)
+            left = _open(self.relax * np.abs(gap[side]), self.best_d[of[side], -1], d[side] + node.middle)
             self._visit(far, of[side][left])
 
 
@@ -149,7 +171,7 @@ def _sent_pivots(spark, sample: list, pivots: int):
     return spark.sparkContext.broadcast({n: (np.array([r["v"] for r in x]), [r["ids"] for r in x], max(1, round(pivots * len(x) / len(sample)))) for n, x in by.items()})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, relax: float = 1.0, sample: int = 2048, shard: int = 8192, leaf: int = 32) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, relax: float = 1.0, sample: int = 2048, shard: int = 8192, leaf: int = 64) -> DataFrame:
     """`(query_id, rank, <id_col>, score)`: for each row of `queries` its `k` nearest among `vectors`, its own id excepted.
 
     score is the Euclidean distance in double precision, the smallest first; equal distances by the smaller id, a null
