@@ -42,17 +42,20 @@ def _hashes(terms) -> np.ndarray:
 
 
 class BallTree:
-    """A tree over sparse rows, none empty: row i has the values `val[start[i]:start[i + 1]]` in the columns `col[…]`."""
+    """A tree over sparse rows, none empty: row i has the values `val[start[i]:start[i + 1]]` in the columns `col[…]`.
+
+    A ball has a centre, a radius over all columns, and for each column a radius of its own: how far a row passes the
+    centre there at most. A query of few columns meets only theirs, which is by far the tighter bound for sparse rows.
+    """
 
     def __init__(self, start: np.ndarray, col: np.ndarray, val: np.ndarray, width: int, leaf: int = 16):
         self.start, self.col, self.val, self.width = start, col, val, width
-        self.leaf = max(leaf, 4 * width * (len(start) - 1) // _CELLS)
-        self.row = np.repeat(np.arange(len(start) - 1), np.diff(start))
-        self.square = np.bincount(self.row, val.astype(float) ** 2, len(start) - 1)
+        self.leaf = max(leaf, 8 * width * (len(start) - 1) // _CELLS)
+        self.square = np.bincount(np.repeat(np.arange(len(start) - 1), np.diff(start)), val.astype(float) ** 2, len(start) - 1)
         self.summed = 0  # rows whose score was summed, for tests and figures
-        self.centres, self.radius, self.children, self.rows = [], [], [], []
+        self.centres, self.highest, self.radius, self.children, self.leaves = [], [], [], [], []
         self._grow(np.arange(len(start) - 1))
-        self.centres, self.radius = np.array(self.centres), np.array(self.radius)
+        self.centres, self.highest, self.radius = (np.ascontiguousarray(np.array(x).T) for x in (self.centres, self.highest, self.radius))
 
     def _entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the entries of some rows, and for each the number of its row among them."""
@@ -62,7 +65,8 @@ class BallTree:
 
     def _grow(self, rows: np.ndarray) -> int:
         at, of = self._entries(rows)
-        col, val = self.col[at], self.val[at].astype(float)
+        col, whole = self.col[at], self.val[at]
+        val = whole.astype(float)
         centre = np.bincount(col, val, self.width) / len(rows)
 
         def away(v: np.ndarray) -> np.ndarray:
@@ -76,49 +80,59 @@ class BallTree:
 
         d = away(centre)
         # what rounding may have taken from a squared distance is in proportion to the squares that it came from
-        radius = np.sqrt((d + 1e-12 * (self.square[rows] + centre @ centre)).max()) * _UP
+        self.radius.append(np.sqrt((d + 1e-12 * (self.square[rows] + centre @ centre)).max()) * _UP)
+        highest = np.zeros(self.width)
+        np.maximum.at(highest, col, val)
         self.centres.append(centre)
-        self.radius.append(radius)
+        self.highest.append(highest)  # the centre and the column's radius together
         self.children.append(None)
-        self.rows.append(rows)
-        me = len(self.rows) - 1
-        if len(rows) > self.leaf:
-            one = dense(rows[d.argmax()])
-            from_one = away(one)
-            other = dense(rows[from_one.argmax()])
-            side = from_one - away(other)
-            left = side <= 0
-            if not len(rows) <= 8 * np.count_nonzero(left) <= 7 * len(rows):  # else the tree might be as deep as it has rows
-                left = np.zeros(len(rows), bool)
-                left[np.argsort(side, kind="stable")[: len(rows) // 2]] = True
-            self.rows[me] = None
-            self.children[me] = (self._grow(rows[left]), self._grow(rows[~left]))
+        self.leaves.append(None)
+        me = len(self.leaves) - 1
+        if len(rows) <= self.leaf:
+            self.leaves[me] = rows, col, whole, np.flatnonzero(np.diff(of, prepend=-1))
+            return me
+        one = dense(rows[d.argmax()])
+        from_one = away(one)
+        other = dense(rows[from_one.argmax()])
+        side = from_one - away(other)
+        left = side <= 0
+        if not len(rows) <= 8 * np.count_nonzero(left) <= 7 * len(rows):  # else the tree might be as deep as it has rows
+            left = np.zeros(len(rows), bool)
+            left[np.argsort(side, kind="stable")[: len(rows) // 2]] = True
+        self.children[me] = (self._grow(rows[left]), self._grow(rows[~left]))
         return me
 
-    def search(self, q: np.ndarray, best: list[tuple], k: int, names: list) -> list[tuple]:
-        """The k best of `best` and the tree's rows, as `(-score, name)` in order; q has an integer for each column.
+    def bounds(self, some: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each ball what no row of it can pass; the query has `weights` in the columns `some`."""
+        w = weights.astype(float)
+        return np.minimum(w @ self.centres[some] + np.sqrt(w @ w) * self.radius, w @ self.highest[some]) * _UP
+
+    def search(self, some: np.ndarray, weights: np.ndarray, best: list[tuple], k: int, names: list) -> list[tuple]:
+        """The k best of `best` and the tree's rows, as `(-score, name)` in order, by whole weights in some columns.
 
         A row of score 0 is none. Of equal scores the smaller name stands first.
         """
-        some = np.flatnonzero(q)
-        bounds = (self.centres[:, some] @ q[some].astype(float) + np.sqrt((q.astype(float) ** 2).sum()) * self.radius) * _UP
+        bounds = self.bounds(some, weights).tolist()
+        q = np.zeros(self.width, np.int64)
+        q[some] = weights
+        least = -best[-1][0] if len(best) >= k else 1
         open_ = [(-bounds[0], 0)]
         while open_:
             bound, node = heappop(open_)
-            if -bound < (-best[-1][0] if len(best) >= k else 1):
+            if -bound < least:
                 break  # all others are bounded lower
             if self.children[node] is not None:
                 for child in self.children[node]:
-                    heappush(open_, (max(-bounds[child], bound), child))
+                    if bounds[child] >= least:
+                        heappush(open_, (max(-bounds[child], bound), child))
                 continue
-            rows = self.rows[node]
-            at, of = self._entries(rows)
-            score = np.add.reduceat(self.val[at] * q[self.col[at]], np.flatnonzero(np.diff(of, prepend=-1)))
+            rows, col, val, first = self.leaves[node]
+            score = np.add.reduceat(val * q[col], first)
             self.summed += len(rows)
-            least = -best[-1][0] if len(best) >= k else 1
             new = np.flatnonzero(score >= least)
             if len(new):
                 best = sorted([*best, *((-int(score[i]), names[rows[i]]) for i in new)])[:k]
+                least = -best[-1][0] if len(best) >= k else 1
         return best
 
 
@@ -243,9 +257,7 @@ def rank(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 docs_of = [(x is None, x) for x in names.as_py()]
                 docs_of = [docs_of[j] for j in some]
                 for place, name, cols, weights in asked:
-                    q = np.zeros(len(ids), np.int64)
-                    q[cols] = weights
-                    best[place] = name, tree.search(q, best.get(place, (name, []))[1], k, docs_of)
+                    best[place] = name, tree.search(cols, weights, best.get(place, (name, []))[1], k, docs_of)
                 if len(best) >= 50_000:
                     yield flush()
         if best:
