@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from .sources.files import write_triples
-from .storage import scratch, state_of
+from .storage import exists, scratch, state_of
 
 E = """SELECT p_partkey AS id, replace(p_name,' ','-') AS slug, p_name AS title, split(p_name,' ') AS formats,
        p_brand AS platform, p_type AS image_type, p_retailprice AS views FROM part"""
@@ -70,13 +70,13 @@ _STORED: dict[tuple, str] = {}
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triple table with all its columns, stored by predicate once per application and state of its input tables.
+    """The triple table with all its columns, stored by predicate once per application and state of its input tables, and again after `storage.forget`.
 
     Graph operators scan it several times; stored by predicate, each pattern reads its own partition.
     Types and languages of literals are constant here.
     """
     key = (spark.sparkContext.applicationId, sf_dir, *(state_of(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "orders", "region")))
-    if key not in _STORED:
+    if key not in _STORED or not exists(spark, _STORED[key]):  # `storage.forget` may have deleted it
         t = frame(spark, sf_dir, "T")
         t = t.selectExpr("s", "p", "o", "o_kind", "CASE WHEN p = 'score' THEN 'xsd:integer' WHEN o_kind = 'literal' THEN 'xsd:string' END AS o_type", "CASE WHEN p = 'rdfs:label' THEN 'en' END AS o_lang")
         path = scratch(spark, "triples")
