@@ -96,13 +96,13 @@ def tiers(df: DataFrame, value: str, key: str, first: int = 200, second: int = 5
 def grid(df: DataFrame, group: str, order: Sequence[str], rows: int) -> DataFrame:
     """Place in a grid: inside a group column by column, `rows` high; groups stand side by side in order.
 
-    A group's offset is the width of the groups before it, from a table with one row per group.
+    A group's offset is the width of the groups before it, from a table with one row per group, summed over its ranges.
     """
     widths = df.groupBy(group).agg(F.ceil(F.count("*") / rows).cast("long").alias("w_"))
-    base = widths.select(F.col(group).alias("g_"), F.coalesce(F.sum("w_").over(W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    base = running(widths.withColumn("one_", F.lit(0)), "one_", [group], F.col("w_"), "until_").select(F.col(group).alias("grid_g_"), (F.col("until_") - F.col("w_")).alias("grid_base_"))
     d = running(df, group, order, F.lit(1).cast("long"), "i_").withColumn("i_", F.col("i_") - 1)
-    d = d.join(base, d[group].eqNullSafe(base["g_"]))
-    return d.withColumn("grid_col", (F.col("base_") + F.floor(F.col("i_") / rows)).cast("long")).withColumn("grid_row", (F.col("i_") % rows).cast("int")).drop("i_", "g_", "base_")
+    d = d.join(base, d[group].eqNullSafe(base["grid_g_"]))
+    return d.withColumn("grid_col", (F.col("grid_base_") + F.floor(F.col("i_") / rows)).cast("long")).withColumn("grid_row", (F.col("i_") % rows).cast("int")).drop("i_", "grid_g_", "grid_base_")
 
 
 def page(df: DataFrame, order: Sequence, number: int, size: int = 60) -> DataFrame:

@@ -31,20 +31,42 @@ def with_norm(d: DataFrame, vector: str) -> DataFrame:
     return d.withColumn("norm_", F.sqrt(dot(F.col(vector), F.col(vector))))
 
 
-def similarities(vectors: DataFrame, prompts: DataFrame, id_col: str = "vec_id", vector: str = "embedding", limit: int = 10_000) -> DataFrame:
-    """M2: cosine to every prompt, `(id, prompt, cosine)`.
+def _beside_blocks(vectors: DataFrame, prompts: DataFrame, id_col: str, vector: str, block: int, salts: int = 64) -> DataFrame:
+    """The vectors, each as often as there are blocks of about `block` prompts, with `scored_`: its cosine to every prompt of the block.
 
-    Prompts are a fixed query set: their number is checked against `limit` and they travel as one array,
-    so each vector meets them inside its own row.
+    One block is broadcast; its prompts are counted, so it is bounded. More blocks are joined: each stands once for each
+    salt, and each vector goes to one salt of every block, so that no task meets more than one block at a time.
     """
     n = prompts.count()
-    if n > limit:
-        raise ValueError(f"{n} prompts; at most {limit} are sent to every task")
+    blocks = max(1, -(-n // block))
     unit = prompts.select("prompt", normalise(F.col("prompt_vector")).alias("u"))
-    packed = unit.agg(F.array_sort(F.collect_list(F.struct("prompt", "u"))).alias("prompts_"))
-    d = with_norm(vectors, vector).crossJoin(F.broadcast(packed))  # one row on the right
-    scored = F.transform("prompts_", lambda p: F.struct(p["prompt"].alias("prompt"), (dot(F.col(vector), p["u"]) / F.when(F.col("norm_") > 0, F.col("norm_")).otherwise(1.0)).alias("cosine")))
-    return d.select(id_col, F.explode(scored).alias("x")).select(id_col, "x.prompt", "x.cosine")
+    unit = unit.withColumn("block_", F.pmod(F.xxhash64("prompt", "u"), F.lit(blocks)).cast("int"))
+    entry = F.array_sort(F.collect_list(F.struct("prompt", "u"))).alias("prompts_")
+    d = with_norm(vectors, vector)
+    if blocks == 1:
+        d = d.crossJoin(F.broadcast(unit.agg(entry)))  # one row on the right
+    else:
+        packed = unit.groupBy("block_").agg(entry).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        d = d.withColumn("salt_", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int")).withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        d = d.join(packed, ["block_", "salt_"])
+    return d.withColumn("scored_", F.transform("prompts_", lambda p: F.struct(p["prompt"].alias("prompt"), (dot(F.col(vector), p["u"]) / F.when(F.col("norm_") > 0, F.col("norm_")).otherwise(1.0)).alias("cosine"))))
+
+
+def similarities(vectors: DataFrame, prompts: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block: int = 10_000) -> DataFrame:
+    """M2: cosine to every prompt, `(id, prompt, cosine)`, for any number of prompts; a task holds one block of them."""
+    d = _beside_blocks(vectors, prompts, id_col, vector, block)
+    return d.select(id_col, F.explode("scored_").alias("x")).select(id_col, "x.prompt", "x.cosine")
+
+
+def nearest_prompt(vectors: DataFrame, prompts: DataFrame, id_col: str = "vec_id", vector: str = "embedding", block: int = 10_000) -> DataFrame:
+    """M2, M4: `(id, prompt, cosine)` of the nearest prompt only, of equals the lowest. The best of each block is kept in its row, and of those the best by a maximum, so cosines to all prompts are never rows."""
+    better = lambda a, b: F.when(a["cosine"].isNull() | (b["cosine"] > a["cosine"]) | ((b["cosine"] == a["cosine"]) & (b["prompt"] < a["prompt"])), b).otherwise(a)
+    d = _beside_blocks(vectors, prompts, id_col, vector, block)
+    best = F.aggregate("scored_", F.lit(None).cast(d.schema["scored_"].dataType.elementType), better)
+    d = d.select(id_col, best.alias("b_")).where(F.col("b_").isNotNull())
+    least = d.groupBy(id_col).agg(F.max("b_.cosine").alias("cosine_"), F.collect_list("b_").alias("all_"))  # one for each block
+    low = F.array_min(F.transform(F.filter("all_", lambda x: x["cosine"] == F.col("cosine_")), lambda x: x["prompt"]))
+    return least.select(id_col, low.alias("prompt"), F.col("cosine_").alias("cosine"))
 
 
 def softmax(scores: DataFrame, id_col: str = "vec_id", temperature: float = 100.0) -> DataFrame:

@@ -44,25 +44,37 @@ def class_usage(triples: DataFrame, class_type: str = "owl:Class") -> DataFrame:
     return d.select("class", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("subclasses", F.lit(0)).alias("subclasses"), F.coalesce("declared", F.lit(False)).alias("declared"))
 
 
-def class_report(triples: DataFrame, most: int = 40) -> DataFrame:
-    """By class its parents, children, properties with it as domain or range, number of individuals, and their list if there are at most `most`.
+def listed(pairs: DataFrame, key: str, value: str, most: int, count: str, out: str) -> DataFrame:
+    """`(key, count, out)`: the number of distinct values of each key, and their sorted list where there are at most `most`.
 
-    Individuals are counted first, and lists are gathered only for classes that stay within the bound.
+    Values are counted first; only those of keys within the bound are gathered, so no row holds more than `most`.
     """
-    types = triples.where(F.col("p") == TYPE).select(F.col("o").alias("class"), "s").distinct()
-    n = types.groupBy("class").agg(F.count("*").alias("individuals"))
-    lists = types.join(n.where(F.col("individuals") <= most).select("class"), "class", "left_semi").groupBy("class").agg(F.array_sort(F.collect_list("s")).alias("members"))
-    pairs = lambda p, key, value, out: triples.where(F.col("p") == p).groupBy(F.col(key).alias("class")).agg(F.array_sort(F.collect_set(value)).alias(out))
-    d = n.join(lists, "class", "left")
-    for x in (pairs(SUBCLASS, "s", "o", "parents"), pairs(SUBCLASS, "o", "s", "children"), pairs("rdfs:domain", "o", "s", "domain_of"), pairs("rdfs:range", "o", "s", "range_of")):
-        d = d.join(x, "class", "full")
-    return d.withColumn("individuals", F.coalesce("individuals", F.lit(0)))
-
-
-def property_report(triples: DataFrame) -> DataFrame:
-    """Domains and ranges by property; properties without either have no row."""
-    d = triples.where(F.col("p").isin("rdfs:domain", "rdfs:range")).groupBy(F.col("s").alias("property"))
-    return d.agg(_values("rdfs:domain").alias("domains"), _values("rdfs:range").alias("ranges"))
+    d = pairs.select(key, value).distinct()
+    n = d.groupBy(key).agg(F.count("*").alias(count))
+    few = d.join(n.where(F.col(count) <= most).select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(out))
+    return n.join(few, key, "left")
+
+
+def class_report(triples: DataFrame, most: int = 40, longest: int = 10_000) -> DataFrame:
+    """By class its individuals, parents, children, and the properties with it as domain or range: the number of each, and their list.
+
+    Individuals are listed if there are at most `most`, the others if there are at most `longest`; else the list is null.
+    """
+    types = triples.where(F.col("p") == TYPE).select(F.col("o").alias("class"), "s")
+    d = listed(types, "class", "s", most, "individuals", "members")
+    for p, key, value, out in ((SUBCLASS, "s", "o", "parents"), (SUBCLASS, "o", "s", "children"), ("rdfs:domain", "o", "s", "domain_of"), ("rdfs:range", "o", "s", "range_of")):
+        own = triples.where(F.col("p") == p).select(F.col(key).alias("class"), F.col(value).alias("v"))
+        d = d.join(listed(own, "class", "v", longest, f"n_{out}", out), "class", "full")
+    return d.fillna(0, ["individuals", "n_parents", "n_children", "n_domain_of", "n_range_of"])
+
+
+def property_report(triples: DataFrame, longest: int = 10_000) -> DataFrame:
+    """Domains and ranges by property, the number of each and their list if there are at most `longest`; properties without either have no row."""
+    own = lambda p, out: listed(triples.where(F.col("p") == p).select(F.col("s").alias("property"), F.col("o").alias("v")), "property", "v", longest, f"n_{out}", out)
+    d = own("rdfs:domain", "domains").join(own("rdfs:range", "ranges"), "property", "full").fillna(0, ["n_domains", "n_ranges"])
+    for out in ("domains", "ranges"):
+        d = d.withColumn(out, F.when(F.col(f"n_{out}") == 0, F.array().cast("array<string>")).otherwise(F.col(out)))
+    return d
 
 
 def observed_schema(triples: DataFrame) -> DataFrame:

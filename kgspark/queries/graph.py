@@ -209,19 +209,19 @@ def d7_vocabulary(spark, sf):
     return sub.kept_vocabulary(x, [CONCEPT, VARIANT], [REGION], x.where("p = 'hasRegion'").select(F.col("o").alias("s")))
 
 
-@query("WITH bare AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) SELECT 'urn:stub#' || c_custkey AS s, 'rdfs:label' AS p, c_name AS o FROM bare UNION ALL SELECT 'urn:stub#' || c_custkey, 'rdf:type', 'urn:class#Idea' FROM bare")
+@query("WITH bare AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT -1, 'Nobody') SELECT 'urn:stub#' || c_custkey AS s, 'rdfs:label' AS p, c_name AS o FROM bare UNION ALL SELECT 'urn:stub#' || c_custkey, 'rdf:type', 'urn:class#Idea' FROM bare")
 def k9_stubs(spark, sf):
-    x = triples(spark, sf)
-    urgent = x.where("p = 'hasDimension' AND o = 'urn:dimension#1-URGENT'").select("s")
-    x = t.add_inverses(x.where("p = 'isVariantOf'").join(urgent, "s", "left_semi"), [("hasVariant", "isVariantOf")])
-    seed = frame(spark, sf, "customer").select(F.concat(F.lit("urn:customer#"), F.col("c_custkey").cast("string")).alias("s"), "c_name", "c_custkey")
+    x = t.add_inverses(triples(spark, sf), [("hasVariant", "isVariantOf")])
+    # one seed that no order names, beside the customers
+    seed = frame(spark, sf, "customer").select("c_custkey", "c_name").unionByName(spark.createDataFrame([(-1, "Nobody")], "c_custkey long, c_name string"))
+    seed = seed.select(F.concat(F.lit("urn:customer#"), F.col("c_custkey").cast("string")).alias("s"), "c_name", "c_custkey")
     facts = [Fact("rdfs:label", F.col("c_name"), lang="en"), Fact("rdf:type", F.lit("urn:class#Idea"), "iri")]
     return sub.make_stubs(x, seed, "hasVariant", facts, F.concat(F.lit("urn:stub#"), F.col("c_custkey").cast("string"))).select("s", "p", "o")
 
 
-@query(with_("T") + "SELECT DISTINCT s, p, o FROM T WHERE p IN ('rdf:type', 'broader') UNION SELECT DISTINCT s, 'rdfs:comment', 'none' FROM T WHERE p IN ('rdf:type', 'broader') AND s NOT IN (SELECT s FROM T WHERE p = 'rdf:type' AND o IN ('urn:class#Concept', 'urn:class#Variant'))")
+@query(with_("T") + "SELECT DISTINCT s, p, o FROM T UNION SELECT DISTINCT s, 'rdfs:comment', 'none' FROM T WHERE s NOT IN (SELECT s FROM T WHERE p = 'rdf:type' AND o IN ('urn:class#Concept', 'urn:class#Variant'))")
 def k10_annotate_untyped(spark, sf):
-    return sub.annotate_untyped(triples(spark, sf).where("p IN ('rdf:type', 'broader')"), [CONCEPT, VARIANT], "none").select("s", "p", "o")
+    return sub.annotate_untyped(triples(spark, sf), [CONCEPT, VARIANT], "none").select("s", "p", "o")
 
 
 @query(with_("T") + ", i AS (SELECT DISTINCT s FROM T WHERE p = 'rdf:type' AND o <> 'urn:class#Region') SELECT T.s, T.p, T.o FROM T WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.s = T.s) AND NOT EXISTS (SELECT 1 FROM i WHERE i.s = T.o)")
@@ -238,28 +238,27 @@ def k12_remove(spark, sf):
     return t.remove_predicate(t.remove_node(triples(spark, sf), "urn:nation#NATION_6"), "hasExtent", "score").select("s", "p", "o")
 
 
-@query(with_("T") + "SELECT s, p, o FROM T WHERE p = 'broader' AND NOT (s = 'urn:nation#NATION_6' AND o = 'urn:region#EUROPE') UNION SELECT 'urn:nation#NATION_6', 'broader', 'urn:region#WEST' UNION SELECT 'urn:nation#NONE', 'broader', 'urn:region#WEST'")
+@query(with_("T") + "SELECT s, p, o FROM T WHERE NOT (p = 'broader' AND s = 'urn:nation#NATION_6' AND o = 'urn:region#EUROPE') UNION SELECT 'urn:nation#NATION_6', 'broader', 'urn:region#WEST' UNION SELECT 'urn:nation#NONE', 'broader', 'urn:region#WEST'")
 def k13_move_parent(spark, sf):
-    x = triples(spark, sf).where("p = 'broader'")
-    x = t.move_parent(x, "urn:nation#NATION_6", "urn:region#EUROPE", "urn:region#WEST", "broader")
+    x = t.move_parent(triples(spark, sf), "urn:nation#NATION_6", "urn:region#EUROPE", "urn:region#WEST", "broader")
     return t.move_parent(x, "urn:nation#NONE", "urn:region#EUROPE", "urn:region#WEST", "broader").select("s", "p", "o")
 
 
-@query(with_("T") + "SELECT DISTINCT s, p, o FROM T WHERE p = 'rdf:type' AND o = 'urn:class#Region' UNION ALL SELECT 'urn:region#' || r_name, 'rdf:type', 'urn:class#Region' FROM region")
+@query(with_("T") + "SELECT DISTINCT s, p, o FROM T UNION ALL SELECT 'urn:region#' || r_name, 'rdf:type', 'urn:class#Region' FROM region")
 def k14_declare(spark, sf):
-    x = triples(spark, sf).where(f"p = 'rdf:type' AND o = '{REGION}'")
+    x = triples(spark, sf)
     names = frame(spark, sf, "region").select(F.concat(F.lit("urn:region#"), "r_name").alias("n"))
-    wanted = t.to_triples(names, F.col("n"), [Fact("rdf:type", F.lit(REGION), "iri")]).unionByName(x.withColumn("o", F.lit("urn:class#Other")))
+    wanted = t.to_triples(names, F.col("n"), [Fact("rdf:type", F.lit(REGION), "iri")]).unionByName(x.where(f"p = 'rdf:type' AND o = '{REGION}'").withColumn("o", F.lit("urn:class#Other")))
     return t.declare(x, wanted).select("s", "p", "o")
 
 
 UPSERT = "SELECT DISTINCT 'urn:item#' || l_orderkey || '-' || l_linenumber AS child, 'urn:order#' || CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS parent FROM lineitem"
-UPSERTED = with_("T") + f", c AS ({UPSERT}), ok AS (SELECT * FROM c WHERE parent IN (SELECT s FROM T WHERE p = 'hasExtent')) SELECT s, p, o FROM T WHERE p = 'hasExtent' UNION SELECT child, 'rdf:type', 'urn:class#Item' FROM ok UNION SELECT child, 'isPartOf', parent FROM ok UNION SELECT parent, 'hasPart', child FROM ok"
-REPORTED = with_("T") + f", c AS ({UPSERT}), k AS (SELECT DISTINCT s FROM T WHERE p = 'hasExtent') SELECT count(*) AS n, count(k.s) AS matched, count(*) - count(k.s) AS unmatched, count(k.s) AS changed FROM c LEFT JOIN k ON k.s = c.parent"
+UPSERTED = with_("T") + f", c AS ({UPSERT}), ok AS (SELECT * FROM c WHERE parent IN (SELECT s FROM T)) SELECT s, p, o FROM T UNION SELECT child, 'rdf:type', 'urn:class#Item' FROM ok UNION SELECT child, 'isPartOf', parent FROM ok UNION SELECT parent, 'hasPart', child FROM ok"
+REPORTED = with_("T") + f", c AS ({UPSERT}), k AS (SELECT DISTINCT s FROM T) SELECT count(*) AS n, count(k.s) AS matched, count(*) - count(k.s) AS unmatched, count(k.s) AS changed FROM c LEFT JOIN k ON k.s = c.parent"
 
 
 def _upsert(spark, sf, times=1):
-    x = triples(spark, sf).where("p = 'hasExtent'")
+    x = triples(spark, sf)
     li = frame(spark, sf, "lineitem")
     key = F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).cast("string")
     child = li.select(F.concat(F.lit("urn:item#"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("child"), F.concat(F.lit("urn:order#"), key).alias("parent")).distinct()
@@ -319,9 +318,9 @@ def k20_assign_groups(spark, sf):
     return t.assign_groups(x, g.unionByName(more)).select("s", "p", "o")
 
 
-@query(with_("T") + ", c AS (SELECT s FROM T WHERE p = 'rdf:type' AND o = 'urn:class#Concept') SELECT s, p, o FROM T WHERE p = 'rdf:type' AND o = 'urn:class#Concept' UNION SELECT s || '-idea', 'rdf:type', 'urn:class#Idea' FROM c UNION SELECT s || '-idea', 'isConceptualizedAs', s FROM c UNION SELECT s, 'conceptualizes', s || '-idea' FROM c")
+@query(with_("T") + ", c AS (SELECT s FROM T WHERE p = 'rdf:type' AND o = 'urn:class#Concept') SELECT s, p, o FROM T UNION SELECT s || '-idea', 'rdf:type', 'urn:class#Idea' FROM c UNION SELECT s || '-idea', 'isConceptualizedAs', s FROM c UNION SELECT s, 'conceptualizes', s || '-idea' FROM c")
 def k21_ensure_ideas(spark, sf):
-    x = triples(spark, sf).where(f"p = 'rdf:type' AND o = '{CONCEPT}'")
+    x = triples(spark, sf)
     for _ in range(2):
         x = t.ensure_linked(x, sub.typed(x, CONCEPT), F.concat("s", F.lit("-idea")), "urn:class#Idea", "conceptualizes", "isConceptualizedAs")
     return x.select("s", "p", "o")
@@ -426,3 +425,12 @@ def a11_ntriples_round_trip(spark, sf):
 @query(with_("T") + "SELECT s, '<' || s || '> ' || string_agg(DISTINCT part, ' ; ' ORDER BY part) || ' .' AS block FROM (SELECT s, p || ' ' || CASE WHEN o_kind = 'iri' THEN '<' || o || '>' WHEN p = 'rdfs:label' THEN '\"' || o || '\"@en' WHEN p = 'score' THEN '\"' || o || '\"^^xsd:integer' ELSE '\"' || o || '\"^^xsd:string' END AS part FROM T) GROUP BY s")
 def a10_turtle_blocks(spark, sf):
     return files.turtle_blocks(triples(spark, sf))
+
+
+TURTLE = with_("T") + """, d AS (SELECT DISTINCT s, p || ' ' || CASE WHEN o_kind = 'iri' THEN '<' || o || '>' WHEN p = 'rdfs:label' THEN '"' || o || '"@en' WHEN p = 'score' THEN '"' || o || '"^^xsd:integer' ELSE '"' || o || '"^^xsd:string' END AS part FROM T),
+k AS (SELECT s, part, row_number() OVER (ORDER BY s, part) AS place, row_number() OVER (PARTITION BY s ORDER BY part) AS k, count(*) OVER (PARTITION BY s) AS n FROM d) """
+
+
+@query(TURTLE + "SELECT place, s, CASE WHEN k = 1 THEN '<' || s || '> ' ELSE '    ' END || part || CASE WHEN k = n THEN ' .' ELSE ' ;' END AS line FROM k")
+def a10_turtle_lines(spark, sf):
+    return files.turtle_lines(triples(spark, sf))

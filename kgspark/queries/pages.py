@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import frame, with_
 from ..functions import extract as x
 from ..functions.scalars import slug_from_url
+from ..operators.filters import starts_with_bytes
 from ..sources import files
 from ..storage import scratch
 
@@ -134,6 +135,17 @@ def a5_list_files(spark, sf):
     return files.list_files(spark, path, "*.json", r"month=(\d+)/[^/]*$").select("file_id", (F.col("length") > 0).alias("filled"))
 
 
+@query("SELECT source, lang, lang = 'en' AS is_gif, CAST(count(*) AS BIGINT) AS rows FROM documents GROUP BY source, lang")
+def d12_files(spark, sf):
+    """One file for each source and language, of which those in English begin like a GIF."""
+    path = scratch(spark, "magic")
+    d = frame(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").cast("string").alias("n"))
+    d.select(F.concat(F.when(F.col("lang") == "en", "GIF89a ").otherwise("PNG "), "n").alias("value"), "source", "lang").repartition("source", "lang").write.partitionBy("source", "lang").text(path)
+    got = files.read_contents(spark, path, "*.txt", least=3)
+    part = lambda c: F.url_decode(F.regexp_extract("path", f"{c}=([^/]+)/", 1))
+    return got.select(part("source").alias("source"), part("lang").alias("lang"), starts_with_bytes(F.col("content")).alias("is_gif"), F.regexp_extract(F.decode("content", "UTF-8"), " ([0-9]+)", 1).cast("long").alias("rows"))
+
+
 @query(with_("O") + "SELECT id, yr, platform FROM O")
 def a6_first_that_exists(spark, sf):
     path = scratch(spark, "first")
@@ -170,6 +182,16 @@ def a8_document(spark, sf):
     return d.select(F.explode(rows).alias("r")).select("r.*")
 
 
+@query(with_("O") + "SELECT 'meta' AS graph, CAST(NULL AS BIGINT) AS id, count(*) AS n FROM O UNION ALL SELECT 'orders', id, yr FROM O")
+def a8_shards(spark, sf):
+    """All orders as one graph of the document, in shards, and read again."""
+    path = scratch(spark, "shards")
+    o = frame(spark, sf, "O")
+    files.write_shards(path, o.agg(F.count("*").alias("n")), rows_per_shard=1000, orders=o.select("id", "yr"))
+    meta = files.read_shards(spark, path, "meta", "n long").select(F.lit("meta").alias("graph"), F.lit(None).cast("long").alias("id"), "n")
+    return meta.unionByName(files.read_shards(spark, path, "orders", "id long, yr int").select(F.lit("orders").alias("graph"), "id", F.col("yr").cast("long").alias("n")))
+
+
 @query("SELECT page_id, list_extract(string_split(regexp_replace(url, '/+$', ''), '/'), -1) AS slug, length(html) AS chars FROM pages")
 def a12_pages(spark, sf):
     return files.read_pages(spark, f"{sf}/pages.parquet").select("page_id", slug_from_url(F.col("url")).alias("slug"), F.length("html").cast("long").alias("chars"))

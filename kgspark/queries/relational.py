@@ -316,10 +316,10 @@ def j1_union_distinct(spark, sf):
     return sets.union_distinct(frame(spark, sf, "customer").select(F.col("c_custkey").alias("k")), frame(spark, sf, "orders").select(F.col("o_custkey").alias("k")))
 
 
-@query(with_("E", "V") + "SELECT id AS k, slug AS name, 'entity' AS kind FROM E WHERE views > 1500 UNION ALL SELECT parent, dimension, 'variant' FROM V WHERE extent = 'O'")
+@query(with_("E", "V") + "SELECT id AS k, slug AS name, 'entity' AS kind FROM E UNION ALL SELECT parent, dimension, 'variant' FROM V")
 def j2_union_tagged(spark, sf):
-    e = frame(spark, sf, "E").where("views > 1500").selectExpr("id AS k", "slug AS name")
-    v = frame(spark, sf, "V").where("extent = 'O'").selectExpr("parent AS k", "dimension AS name")
+    e = frame(spark, sf, "E").selectExpr("id AS k", "slug AS name")
+    v = frame(spark, sf, "V").selectExpr("parent AS k", "dimension AS name")
     return sets.union_tagged(entity=e, variant=v)
 
 

@@ -45,6 +45,16 @@ def m2_cosine(spark, sf):
     return _scores(spark, sf).withColumn("cosine", F.round("cosine", 5))
 
 
+@query("""WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT x.vec_id, y.vec_id AS prompt, list_cosine_similarity(x.e, list_transform(y.e, lambda a: -a)) AS cosine FROM x CROSS JOIN x AS y)
+SELECT vec_id, prompt, round(cosine, 5) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, prompt) = 1""")
+def m2_nearest_prompt(spark, sf):
+    """The opposite of every vector is a prompt, in many blocks; the nearest is the vector that differs most."""
+    x = frame(spark, sf, "embeddings")
+    prompts = x.select(F.col("vec_id").alias("prompt"), F.transform("embedding", lambda a: -a).alias("prompt_vector"))
+    return v.nearest_prompt(x, prompts, block=64).withColumn("cosine", F.round("cosine", 5))
+
+
 @query(COS + "SELECT vec_id, prompt, round(p, 5) AS p FROM s")
 def m3_softmax(spark, sf):
     return v.softmax(_scores(spark, sf)).select("vec_id", "prompt", F.round("p", 5).alias("p"))
@@ -55,9 +65,9 @@ def m4_best_label(spark, sf):
     return v.best_label(v.softmax(_scores(spark, sf)))
 
 
-@query(COS + "SELECT b.vec_id, round(b.p, 4) >= 0.6 OR coalesce(trim(d.text), '') <> '' AS present, CASE WHEN coalesce(trim(d.text), '') <> '' THEN md5(left(trim(d.text), 200)) END AS snippet FROM b LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d ON d.doc_id = b.vec_id")
+@query(COS + "SELECT b.vec_id, round(b.p, 4) >= 0.6 OR coalesce(trim(d.text), '') <> '' AS present, CASE WHEN coalesce(trim(d.text), '') <> '' THEN md5(left(trim(d.text), 200)) END AS snippet FROM b LEFT JOIN documents d ON d.doc_id = b.vec_id")
 def m5_text_presence(spark, sf):
-    d = frame(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"), "text")
+    d = frame(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     x = v.best_label(v.softmax(_scores(spark, sf))).join(d, "vec_id", "left").select("vec_id", v.text_presence(F.col("score"), F.col("text")).alias("x"))
     return x.select("vec_id", "x.present", F.md5("x.snippet").alias("snippet"))
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import escape_literal, unescape_literal
+from ..operators.order import dealt, numbered
 from ..plans.triples import TRIPLE
-from ..storage import publish, read_newest
+from ..storage import folders, publish, read_newest, remove, versions
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
@@ -39,6 +42,12 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*", numbered: str
     return d.withColumn("file_id", F.regexp_extract("path", numbered, 1).try_cast("bigint"))
 
 
+def read_contents(spark: SparkSession, root: str, pattern: str = "*", least: int = 1) -> DataFrame:
+    """`(path, length, content)` of files of at least `least` bytes; shorter ones are left out before they are opened."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    return d.where(F.col("length") >= least).select("path", "length", "content")
+
+
 def read_first(spark: SparkSession, paths: Sequence[str], schema: str, multi_line: bool = True) -> DataFrame:
     """The first of several sources that exists, else an empty frame."""
     for p in paths:
@@ -70,6 +79,60 @@ def analytics_document(meta: DataFrame, **graphs: DataFrame) -> DataFrame:
     return out.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("document"))
 
 
+_SHARDS = "graph string, shard long, first long, rows long"
+
+
+def write_shards(path: str, meta: DataFrame, rows_per_shard: int = 100_000, **graphs: DataFrame) -> None:
+    """A8 for graphs of any size: each graph's array as shards of `rows_per_shard` JSON rows, in the order of their text, and an index of them.
+
+    A shard is one text file, written by one task; the index has a row for each: `(graph, shard, first place, rows)`. It
+    is published last, as a whole version that names the folder of its shards, so readers see the old document or the new.
+    """
+    spark = meta.sparkSession
+    known = None
+    folder = uuid.uuid4().hex
+    for name, d in {"meta": meta, **graphs}.items():
+        j = numbered(d.select(F.to_json(F.struct(*sorted(d.columns)), {"ignoreNullFields": "false"}).alias("value")), ["value"])
+        j = j.withColumn("shard", F.floor((F.col("place") - 1) / rows_per_shard))
+        j.repartition("shard").sortWithinPartitions("shard", "place").select("value", "shard").write.partitionBy("shard").text(f"{path}/{folder}/{name}")
+        own = j.groupBy("shard").agg(F.min("place").alias("first"), F.count("*").alias("rows")).select(F.lit(name).alias("graph"), "shard", "first", "rows")
+        known = own if known is None else known.unionByName(own)
+    publish(known.withColumn("folder", F.lit(folder)).coalesce(1), f"{path}/index")
+    current = {folder, *(r[0] for v in versions(spark, f"{path}/index") for r in spark.read.schema(_SHARDS + ", folder string").parquet(f"{path}/index/{v}").select("folder").distinct().collect())}
+    for old in folders(spark, path):
+        if old not in current and old != "index":
+            remove(spark, f"{path}/{old}")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of the newest document."""
+    return read_newest(spark, f"{path}/index", _SHARDS + ", folder string")
+
+
+def read_shards(spark: SparkSession, path: str, graph: str, schema: StructType | str) -> DataFrame:
+    """The rows of one graph, with the shard that each is in; an empty frame if the document has none."""
+    empty = spark.createDataFrame([], schema).withColumn("shard", F.lit(0).cast("long"))
+    own = read_index(spark, path).where(F.col("graph") == graph)
+    folder = own.select("folder").first()
+    if folder is None:
+        return empty
+    d = spark.read.schema("value string, shard long").text(f"{path}/{folder[0]}/{graph}")
+    return d.join(own.select("shard"), "shard").select(F.from_json("value", empty.drop("shard").schema).alias("row"), "shard").select("row.*", "shard")
+
+
+def document_pieces(spark: SparkSession, path: str) -> Iterator[str]:
+    """The whole document as pieces of text, one shard at a time, graphs by name after `meta`; together they are one JSON object."""
+    index = read_index(spark, path).orderBy(F.col("graph") != "meta", "graph", "shard").collect()  # a row for each shard
+    at = None
+    for r in index:
+        if r["graph"] != at:
+            yield ("{" if at is None else "," if at == "meta" else "],") + f'"{r["graph"]}":' + ("" if r["graph"] == "meta" else "[")
+        lines = spark.read.text(f"{path}/{r['folder']}/{r['graph']}/shard={r['shard']}", wholetext=True).first()[0]
+        yield ("," if r["graph"] == at else "") + ",".join(lines.splitlines())
+        at = r["graph"]
+    yield "}" if at in (None, "meta") else "]}"
+
+
 def write_document(path: str, meta: DataFrame, **graphs: DataFrame) -> None:
     """Each graph as its own Parquet folder beside `meta`, each overwritten as in A7."""
     for name, d in {"meta": meta, **graphs}.items():
@@ -115,18 +178,46 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path))
 
 
-def turtle_blocks(triples: DataFrame) -> DataFrame:
-    """A10: `(s, block)`: all of a subject's properties in one block, sorted, `;` between and `.` last."""
+def turtle_part() -> Column:
+    """Predicate and object of a triple, as a block has them."""
     literal = F.concat(F.lit('"'), escape_literal(F.col("o")), F.lit('"'), F.coalesce(F.concat(F.lit("@"), F.col("o_lang")), F.concat(F.lit("^^"), F.col("o_type")), F.lit("")))
-    part = F.concat(F.col("p"), F.lit(" "), F.when(F.col("o_kind") == "literal", literal).otherwise(node(F.col("o"))))
-    d = triples.select("s", part.alias("part")).groupBy("s").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    return F.concat(F.col("p"), F.lit(" "), F.when(F.col("o_kind") == "literal", literal).otherwise(node(F.col("o"))))
+
+
+def turtle_blocks(triples: DataFrame) -> DataFrame:
+    """A10: `(s, block)`: all of a subject's properties in one block, sorted, `;` between and `.` last.
+
+    A block is one row, so a subject must fit into one; `turtle_lines` has no such bound.
+    """
+    d = triples.select("s", turtle_part().alias("part")).groupBy("s").agg(F.array_sort(F.collect_set("part")).alias("parts"))
     return d.select("s", F.concat(node(F.col("s")), F.lit(" "), F.array_join("parts", " ; "), F.lit(" .")).alias("block"))
 
 
+def turtle_lines(triples: DataFrame) -> DataFrame:
+    """A10: `(place, s, line)`: the same text with one row for each property, numbered from 1; a subject may have any number.
+
+    Distinct properties are sorted by range over many tasks. A line opens its subject's block if the line before is
+    another subject's, and ends it if the line after is; at the ends of a range the neighbouring ranges tell, from a
+    table with one row for each. No row and no task holds all properties of a subject.
+    """
+    d = dealt(triples.select("s", turtle_part().alias("part")).distinct(), None, ["s", "part"])
+    ranges = d.groupBy("part_").agg(F.min("s").alias("first_"), F.max("s").alias("last_"), F.count("*").alias("n_"))
+    order = W.partitionBy(F.lit(0)).orderBy("part_")  # one row for each range
+    ranges = ranges.select("part_", F.lag("last_").over(order).alias("before_"), F.lead("first_").over(order).alias("after_"), (F.sum("n_").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_")).alias("base_"))
+    inside = W.partitionBy("part_").orderBy("in_")
+    d = d.withColumns({"lag_": F.lag("s").over(inside), "lead_": F.lead("s").over(inside)}).join(F.broadcast(ranges), "part_")
+    opens, ends = ~F.col("s").eqNullSafe(F.coalesce("lag_", "before_")), ~F.col("s").eqNullSafe(F.coalesce("lead_", "after_"))
+    line = F.concat(F.when(opens, F.concat(node(F.col("s")), F.lit(" "))).otherwise("    "), F.col("part"), F.when(ends, " .").otherwise(" ;"))
+    return d.select((F.col("base_") + F.col("in_") + 1).cast("long").alias("place"), "s", line.alias("line"))
+
+
 def write_turtle_blocks(triples: DataFrame, path: str, prefixes: Sequence[tuple[str, str]] = ()) -> None:
-    """A10: blocks as text files, each preceded by the prefixes so that any file can be read alone."""
-    head = "".join(f"@prefix {p}: <{n}> .\n" for p, n in prefixes)
-    turtle_blocks(triples).select(F.concat(F.lit(head), F.col("block")).alias("value")).write.mode("overwrite").text(path)
+    """A10: the lines of `turtle_lines` as text files; in the order of their names they are one document, the prefixes first."""
+    d = turtle_lines(triples).select("place", F.col("line").alias("value"))
+    if prefixes:
+        head = "\n".join(f"@prefix {p}: <{n}> ." for p, n in prefixes)
+        d = d.unionByName(triples.sparkSession.createDataFrame([(0, head)], "place long, value string"))
+    d.sort("place").select("value").write.mode("overwrite").text(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -233,8 +233,8 @@ def test_vectors(spark):
     s = v.softmax(v.similarities(df, v.first_prompts(df)))
     assert all(abs(q.t - 1) < 1e-9 for q in s.groupBy("vec_id").agg(F.sum("p").alias("t")).collect())
     assert {q.vec_id: q.label for q in v.best_label(s).collect()} == {1: 0, 2: 0, 3: 0}
-    with pytest.raises(ValueError):
-        v.similarities(df, v.first_prompts(df), limit=1)
+    one = sorted(map(tuple, v.similarities(df, v.first_prompts(df)).collect()))
+    assert len(one) == 6 and sorted(map(tuple, v.similarities(df, v.first_prompts(df), block=1).collect())) == one
     scores = [{"TextOnly": 0.7, "Human": 0.1}, {"TextOnly": 0.7, "Human": 0.23}, {"TextOnly": 0.5, "Cat": 0.45}, {"Cat": 0.39}, {}, {"Figure": 0.6}]
     got = ev(col(spark, scores, "map<string,double>"), v.subject_cascade(F.col("x")))
     assert [q.subject for q in got] == ["TextOnly", "Unknown", "Cat", "Unknown", "Unknown", "Figure"] and got[0].force_text
