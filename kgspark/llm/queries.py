@@ -107,7 +107,7 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 OP9_SQL = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
@@ -123,13 +123,27 @@ t AS (SELECT source, source_size,
                   ELSE (SELECT level FROM f WHERE NOT filled ORDER BY most / weight, rk LIMIT 1) * weight END AS target,
              CAST(('0x' || substr(md5(coalesce(source, '') || '#9'), 1, 8)) AS BIGINT) / 4294967296.0 AS u
       FROM f),
-n AS (SELECT d.*, t.source_size, t.target, t.u,
+n AS (SELECT d.*, t.source_size, t.target, CAST(t.u AS DOUBLE) AS u,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS r,
-             row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.h, d.doc_id) AS i
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+             row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.h, d.doc_id) AS i,
+             count(*) OVER (PARTITION BY d.source) AS n
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+top AS (SELECT source, any_value(r) AS r, any_value(u) AS u, list(size ORDER BY i DESC) AS sizes FROM n WHERE n - i < 256 GROUP BY source),
+g AS (SELECT source, r, u, sizes, 0 AS j, CAST(0 AS BIGINT) AS upto, CAST(0 AS BIGINT) AS took, CAST([] AS BIGINT[]) AS copies FROM top
+      UNION ALL
+      SELECT source, r, u, sizes, j + 1, upto + s, took + c * s, list_append(copies, c)
+      FROM (SELECT *, sizes[j + 1] AS s,
+                   CAST(CASE WHEN sizes[j + 1] > 0
+                        THEN least(greatest(floor((r * (upto + sizes[j + 1]) - took) / sizes[j + 1] + u), 0), 3) ELSE 0 END AS BIGINT) AS c
+            FROM g WHERE j < len(sizes))),
+w2 AS (SELECT source, upto, took, copies FROM g WHERE j = len(sizes)),
+x AS (SELECT n.*, w2.copies,
+             CASE WHEN source_size > upto THEN least(greatest((target - took) / (source_size - upto), 0.0), 3.0) ELSE 0.0 END AS rest
+      FROM n JOIN w2 ON n.source IS NOT DISTINCT FROM w2.source)
 SELECT doc_id, size, source_size, target,
-       CAST(least(floor(i * r + u::DOUBLE) - floor((i - 1) * r + u::DOUBLE), 3) AS BIGINT) * size AS taken
-FROM n
+       CASE WHEN n - i < 256 THEN copies[n - i + 1]
+            ELSE CAST(least(floor(i * rest + u) - floor((i - 1) * rest + u), 3) AS BIGINT) END * size AS taken
+FROM x
 """
 
 OP10_SQL = """
