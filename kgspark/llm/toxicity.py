@@ -61,8 +61,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     `grade` counts from 0 (harmless). Where it holds only 0 and 1, grade 1 is divided: a text with more
     than the median number of marker words (those at least e^2 times likelier in grade 1) gets grade 2.
     The words used are all those in at least `min_docs` texts whose shares among harmless and other texts differ by
-    at least `z` standard errors. Without two grades, or without such words, every expected severity is the same.
-    Repeated rows of an id count as often as they occur.
+    at least `z` standard errors. Without such words nothing parts the texts: the probability of a grade above 0 is
+    then its share in the sample for every text. Without two grades it is 0. Of one label for all texts nothing is
+    learned. Repeated rows of an id count as often as they occur; null, empty and very long texts are counted whole.
     """
     sample = bounded_labels(labels.where(train_on) if train_on is not None else labels, grade, bound, id_col)
     texts = labelled_texts(docs, sample, id_col, text_col)
@@ -75,6 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pooled = (F.col("n0") + F.col("n1")) / (n0 + n1)
     differ = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n1 + 1 / n0))
     index, c0, c1 = known_grams(class_counts(some, plain_words, 2).where((F.col("n0") + F.col("n1") >= min_docs) & (differ >= z)))
+    if not len(index):
+        return OrdinalModel(none, [float(np.log((n0 + 0.5) / (n1 + 0.5)))])
     y, start, cols = sparse_rows(texts, plain_words, index)
     odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
     if max(sizes) == 1:
@@ -89,8 +92,9 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """`(id_col, severity, grade, toxic)` for every row.
 
     severity is the expected grade, grade the likeliest one (of equals the lower), toxic whether the
-    probability of a grade above 0 is over `cut`. Null and empty texts are scored as texts without words;
-    repeated rows are scored alike; an empty table gives an empty one. Columns of `docs` that are not named are not read.
+    probability of a grade above 0 is over `cut` by more than rounding can make it. Null and empty texts are scored as
+    texts without words, very long ones whole; repeated rows are scored alike; an empty table gives an empty one.
+    Columns of `docs` that are not named are not read.
     """
     theta = np.array(model.thresholds)
 
@@ -98,6 +102,6 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         over = _logistic(sums[:, None] - theta[None, :])
         cum = np.concatenate([1 - over, np.ones((len(sums), 1))], axis=1)
         p = np.diff(cum, axis=1, prepend=0)
-        return over.sum(axis=1), p.argmax(axis=1).astype(np.int32), over[:, 0] > cut
+        return over.sum(axis=1), p.argmax(axis=1).astype(np.int32), over[:, 0] > cut + 1e-6
 
     return scored(docs, id_col, text_col, plain_words, model.weights, finish, "severity double, grade int, toxic boolean")
