@@ -18,7 +18,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored as texts without words, very long ones whole; rows without an id are scored, and are
+    never among the labelled ones; repeated rows are judged alike. Without labels of both kinds every score is 0.5 and all stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"), train_on=crc_fold() != 0)
     return quality.score(docs, model, "doc_id", "text", 0.3, "text", "lang", "source", "n_chars").where("predicted = 1").select(*COLUMNS)
 
@@ -26,7 +30,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id, rows without an id last, of equal ids by a hash of the text.
 
-    The SimHash operator at a similarity: texts are linked at 0.8 or more of their 5-word shingles.
+    The SimHash operator at a similarity: texts are linked at 0.8 or more of their 5-word shingles. Texts of fewer words
+    are linked where they are equal word by word, null and empty ones with each other; very long texts are compared whole.
+    Rows without an id, or with different texts under one id, stay unless a text like theirs does.
     """
     nodes = simhash_sets.components(docs, shingle=5, similarity=0.8)
     named = docs.select(*COLUMNS, simhash_sets.node_of("text").alias("node"))
@@ -37,19 +43,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of test items; a document of which more than half is such passages goes."""
+    """Texts without passages of test items; a document of which more than half is such passages goes.
+
+    Null texts become empty ones and stay; rows with a null or shared id are judged by their own text; without items nothing is cut.
+    """
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), window=10, keep=["lang", "source"], cut_limit=0.5)
     return found.where("not drop").select("doc_id", F.col("clean").alias("text"), "lang", "source", F.length("clean").cast("long").alias("n_chars"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data masked."""
+    """Texts with personal data masked.
+
+    Every row stays: null texts are empty, repeated ones are masked alike, very long ones whole. An empty table gives an empty one.
+    """
     found = pii.find(docs, pii.fit(docs), keep=["lang", "source"], mask=True)
     return found.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with a column `copy` from 1; documents not taken are absent."""
+    """Each document as often as the mix takes it, with a column `copy` from 1; documents not taken are absent.
+
+    A null source is a source of its own; empty texts take no words. Rows that repeat id and text are taken alike, as often as the most taken of them.
+    """
     # rows without an id, or with a shared one, are told apart by their texts
     docs = docs.select(*COLUMNS).withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
     taken = mixing.mix(docs, id_col="row").where("copies > 0").groupBy("row").agg(F.max("copies").alias("copies"))
