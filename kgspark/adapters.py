@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.catalog import Catalogued, register
 from .sources.files import write_triples
 from .storage import exists, scratch, state_of
 
@@ -75,6 +76,11 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     Graph operators scan it several times; stored by predicate, each pattern reads its own partition.
     Types and languages of literals are constant here.
     """
+    return spark.read.schema("s string, o string, o_kind string, o_type string, o_lang string, p string").parquet(stored_triples(spark, sf_dir)).select("s", "p", "o", "o_kind", "o_type", "o_lang")
+
+
+def stored_triples(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the stored triple table."""
     key = (spark.sparkContext.applicationId, sf_dir, *(state_of(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "nation", "orders", "region")))
     if key not in _STORED or not exists(spark, _STORED[key]):  # `storage.forget` may have deleted it
         t = frame(spark, sf_dir, "T")
@@ -82,7 +88,18 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, "triples")
         write_triples(t, path)
         _STORED[key] = path
-    return spark.read.schema("s string, o string, o_kind string, o_type string, o_lang string, p string").parquet(_STORED[key]).select("s", "p", "o", "o_kind", "o_type", "o_lang")
+    return _STORED[key]
+
+
+_CATALOGUED: dict[str, Catalogued] = {}
+
+
+def catalogued(spark: SparkSession, sf_dir: str) -> Catalogued:
+    """The stored triple table as analysed tables by predicate, registered once for each stored table."""
+    path = stored_triples(spark, sf_dir)
+    if path not in _CATALOGUED:
+        _CATALOGUED[path] = register(spark, path, "kgspark_" + path.rpartition("-")[2])
+    return _CATALOGUED[path]
 
 
 def with_(*names: str) -> str:

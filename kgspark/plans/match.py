@@ -6,7 +6,7 @@ the table, so predicates reach the scan, and a table stored by predicate is read
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +16,9 @@ from ..functions.scalars import local_name
 Pattern = tuple[str, str, str]
 
 
-def _solutions(triples: DataFrame, pattern: Pattern) -> DataFrame:
+def _solutions(triples: DataFrame | Callable[[Pattern], DataFrame], pattern: Pattern) -> DataFrame:
     """Bindings of one pattern; a variable that occurs twice in it must bind alike."""
-    d, names = triples, {}
+    d, names = triples(pattern) if callable(triples) else triples, {}
     for column, term in zip(("s", "p", "o"), pattern, strict=True):
         if not term.startswith("?"):
             d = d.where(F.col(column) == term)
@@ -38,12 +38,13 @@ def _join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.crossJoin(right)
 
 
-def match(triples: DataFrame, patterns: Sequence[Pattern], optional: Sequence[Sequence[Pattern]] = (), bind: Mapping[str, str] | None = None) -> DataFrame:
+def match(triples: DataFrame | Callable[[Pattern], DataFrame], patterns: Sequence[Pattern], optional: Sequence[Sequence[Pattern]] = (), bind: Mapping[str, str] | None = None) -> DataFrame:
     """Solutions of all patterns as rows, one column per variable; repeated solutions stay.
 
     Each optional block is joined from the left and leaves its variables null where it has no solution.
     `bind` adds local names: new variable -> variable of a node. Patterns are joined so that each shares a
-    variable with those before it where one does.
+    variable with those before it where one does. `triples` is a frame, or gives the frame for a pattern, as the
+    tables of `catalog.register` do, whose statistics let Spark order the joins by their cost.
     """
     left, rest = None, list(patterns)
     while rest:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import frame, triples, with_
+from ..adapters import catalogued, frame, triples, with_
 from ..functions.scalars import local_name_for
 from ..plans import match as m
 from ..plans import reports as r
@@ -79,24 +79,54 @@ def k4_no_text(spark, sf):
     return d.select("label", "dimension", "region").orderBy("label", "dimension", "region").limit(100)
 
 
-@query(with_("T") + f"SELECT l.o AS name, k.o AS region_label, {LN.format('b.o')} AS broader FROM {one('rdf:type', CONCEPT)} t JOIN {one('rdfs:label')} l ON l.s = t.s JOIN {one('hasRegion')} r ON r.s = t.s JOIN {one('rdfs:label')} k ON k.s = r.o LEFT JOIN {one('broader')} b ON b.s = r.o ORDER BY 1, 2 LIMIT 100")
-def k4_cultural_refs(spark, sf):
-    d = m.match(triples(spark, sf), [("?c", "rdf:type", CONCEPT), ("?c", "rdfs:label", "?name"), ("?c", "hasRegion", "?r"), ("?r", "rdfs:label", "?region_label")], optional=[[("?r", "broader", "?b")]], bind={"?broader": "?b"})
+CULTURAL = with_("T") + f"SELECT l.o AS name, k.o AS region_label, {LN.format('b.o')} AS broader FROM {one('rdf:type', CONCEPT)} t JOIN {one('rdfs:label')} l ON l.s = t.s JOIN {one('hasRegion')} r ON r.s = t.s JOIN {one('rdfs:label')} k ON k.s = r.o LEFT JOIN {one('broader')} b ON b.s = r.o ORDER BY 1, 2 LIMIT 100"
+
+
+def _cultural_refs(source):
+    d = m.match(source, [("?c", "rdf:type", CONCEPT), ("?c", "rdfs:label", "?name"), ("?c", "hasRegion", "?r"), ("?r", "rdfs:label", "?region_label")], optional=[[("?r", "broader", "?b")]], bind={"?broader": "?b"})
     return d.select("name", "region_label", "broader").orderBy("name", "region_label").limit(100)
 
 
+@query(CULTURAL)
+def k4_cultural_refs(spark, sf):
+    return _cultural_refs(triples(spark, sf))
+
+
+@query(CULTURAL)
+def k4_cultural_refs_by_cost(spark, sf):
+    """The same over analysed tables: the statistics of the patterns decide the order of the joins."""
+    return _cultural_refs(catalogued(spark, sf))
+
+
 @query(with_("T") + f"SELECT v.s AS variant, l.o AS name, {LN.format('e.o')} AS extent FROM {one('isVariantOf')} v JOIN {one('rdfs:label')} l ON l.s = v.o JOIN {one('hasExtent')} e ON e.s = v.s")
 def k4_ideas(spark, sf):
     d = m.match(triples(spark, sf), [("?variant", "isVariantOf", "?c"), ("?c", "rdfs:label", "?name"), ("?variant", "hasExtent", "?e")], bind={"?extent": "?e"})
     return d.select("variant", "name", "extent")
 
 
-@query(with_("T") + f"SELECT t.s AS variant, l.o AS name, {LN.format('d.o')} AS dimension, {LN.format('e.o')} AS extent, n.o AS note FROM {one('rdf:type', VARIANT)} t JOIN {one('isVariantOf')} v ON v.s = t.s JOIN {one('rdfs:label')} l ON l.s = v.o JOIN {one('hasDimension')} d ON d.s = t.s JOIN {one('hasExtent')} e ON e.s = t.s LEFT JOIN {one('note')} n ON n.s = t.s")
-def k4_transformations(spark, sf):
-    d = m.match(triples(spark, sf), [("?variant", "rdf:type", VARIANT), ("?variant", "isVariantOf", "?c"), ("?c", "rdfs:label", "?name"), ("?variant", "hasDimension", "?d"), ("?variant", "hasExtent", "?e")], optional=[[("?variant", "note", "?note")]], bind={"?dimension": "?d", "?extent": "?e"})
+# each pattern is a table of its own, so that the engine knows their sizes before it orders the joins
+TRANSFORMED = with_("T") + f""", ty AS MATERIALIZED {one('rdf:type', VARIANT)}, v AS MATERIALIZED {one('isVariantOf')}, l AS MATERIALIZED {one('rdfs:label')},
+d AS MATERIALIZED {one('hasDimension')}, e AS MATERIALIZED {one('hasExtent')}, n AS MATERIALIZED {one('note')}
+SELECT ty.s AS variant, l.o AS name, {LN.format('d.o')} AS dimension, {LN.format('e.o')} AS extent, n.o AS note
+FROM ty JOIN v ON v.s = ty.s JOIN l ON l.s = v.o JOIN d ON d.s = ty.s JOIN e ON e.s = ty.s LEFT JOIN n ON n.s = ty.s"""
+
+
+def _transformations(source):
+    d = m.match(source, [("?variant", "rdf:type", VARIANT), ("?variant", "isVariantOf", "?c"), ("?c", "rdfs:label", "?name"), ("?variant", "hasDimension", "?d"), ("?variant", "hasExtent", "?e")], optional=[[("?variant", "note", "?note")]], bind={"?dimension": "?d", "?extent": "?e"})
     return d.select("variant", "name", "dimension", "extent", "note")
 
 
+@query(TRANSFORMED)
+def k4_transformations(spark, sf):
+    return _transformations(triples(spark, sf))
+
+
+@query(TRANSFORMED)
+def k4_transformations_by_cost(spark, sf):
+    """The same over analysed tables."""
+    return _transformations(catalogued(spark, sf))
+
+
 @query(with_("T") + f"SELECT r.s AS region, l.o AS label, b.o AS broader, count(DISTINCT c.s) AS n FROM {one('rdf:type', REGION)} r JOIN {one('rdfs:label')} l ON l.s = r.s JOIN {one('broader')} b ON b.s = r.s JOIN {one('hasRegion')} c ON c.o = r.s JOIN {one('rdf:type', CONCEPT)} t ON t.s = c.s GROUP BY 1, 2, 3 ORDER BY n DESC, 1")
 def k4_regions(spark, sf):
     d = m.match(triples(spark, sf), [("?region", "rdf:type", REGION), ("?region", "rdfs:label", "?label"), ("?region", "broader", "?broader"), ("?c", "hasRegion", "?region"), ("?c", "rdf:type", CONCEPT)])
