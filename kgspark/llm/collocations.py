@@ -4,9 +4,10 @@ Only the longest windows are counted: each word stands with the words that follo
 piece's end. Spark's ROLLUP sums the windows over successively shorter prefixes, which gives the occurrences of every
 shorter phrase and of every word; no shorter n-gram is exploded.
 
-Nearly all windows occur once or twice and would fill the shuffle. So a first pass counts hashed neighbours, and a
-window is padded from its first pair of neighbours that is too rare for any candidate. That pads no candidate and no
-part of one, and the counts stay exact: a table of bits of fixed size tells the pairs, with false positives only.
+Nearly all windows occur once or twice and would fill the shuffle with their words. So a first pass counts the hashes of
+windows and their prefixes, and a window is padded after its longest prefix that is frequent enough for a candidate.
+That pads no candidate and no part of one, and the counts stay exact: a table of bits of fixed size tells the frequent
+hashes, with false positives only.
 """
 
 from __future__ import annotations
@@ -68,10 +69,14 @@ def _coded(tokens: list[bytes], own: int, longest: int) -> tuple[pa.Array, list[
     return names, lead
 
 
-def _pair_hashes(names: pa.Array, lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _prefix_hashes(names: pa.Array, lang: str, lead: list[np.ndarray]):
+    """For each length from 2 on: the windows that are not padded before it, and the hashes of that many of their words."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names.to_pylist()), np.uint64, len(names))
-    start = np.full(1, xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
-    return mixed(mixed(h[a] + start) * np.uint64(0x9E3779B97F4A7C15) + h[b])
+    of = mixed(h[lead[0]] + np.full(1, xxhash.xxh3_64_intdigest(lang.encode()), np.uint64))
+    for c in lead[1:]:
+        there = np.flatnonzero(c >= 0)
+        of[there] = mixed(of[there] * np.uint64(0x9E3779B97F4A7C15) + h[c[there]])
+        yield there, of[there]
 
 
 def _by_lang(batch: pa.RecordBatch):
@@ -81,18 +86,17 @@ def _by_lang(batch: pa.RecordBatch):
     return texts.items()
 
 
-def _pairs(longest: int):
-    """Arrow batches to `(h, n)`: hashed neighbours and how often they occur in a part of the batch."""
+def _prefixes(longest: int):
+    """Arrow batches to `(h, n)`: hashed prefixes of windows, of two words or more, and how often they occur in a part of the batch."""
 
     def run(batches):
         for b in batches:
             for lang, texts in _by_lang(b):
                 for tokens, own in _token_lists(texts, longest):
-                    names, lead = _coded(tokens, own, 2)
-                    both = lead[1] >= 0
-                    key, n = np.unique(lead[0][both] * len(names) + lead[1][both], return_counts=True)
-                    h = _pair_hashes(names, lang, key // len(names), key % len(names)) if len(key) else np.empty(0, np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+                    names, lead = _coded(tokens, own, longest)
+                    for _, h in _prefix_hashes(names, lang, lead):
+                        h, n = np.unique(h, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     return run
 
@@ -106,13 +110,13 @@ def _windows(longest: int, sent):
             for lang, texts in _by_lang(b):
                 for tokens, own in _token_lists(texts, longest):
                     names, lead = _coded(tokens, own, longest)
-                    key = lead[0]
-                    for k in range(1, longest):
-                        there = np.flatnonzero(lead[k] >= 0)
-                        keep = among(sent.value, _pair_hashes(names, lang, lead[k - 1][there], lead[k][there])) if len(there) else there
+                    for k, (there, h) in enumerate(list(_prefix_hashes(names, lang, lead)), 1):
+                        rare = there[~among(sent.value, h)]
                         for later in lead[k:]:
-                            later[there[~keep]] = -1
-                        key = np.unique(key, return_inverse=True)[1] * (len(names) + 1) + lead[k] + 1
+                            later[rare] = -1
+                    key = lead[0]
+                    for c in lead[1:]:
+                        key = np.unique(key, return_inverse=True)[1] * (len(names) + 1) + c + 1
                     _, first, n = np.unique(key, return_index=True, return_counts=True)
                     spelled = pa.concat_arrays([names, pa.array([b""], pa.binary())]).cast(pa.string(), safe=False)
                     cols = [spelled.take(pa.array(np.where(c[first] < 0, len(names), c[first]))) for c in lead]
@@ -125,15 +129,17 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """`(lang, words, f)`: every phrase of at most `longest` words with `min_count` or more occurrences in its
     language; the row without words counts all words of the language.
 
-    Phrases whose pairs of neighbours are all frequent enough are among them, so every candidate and all its parts are.
+    Every part of such a phrase is as frequent, so it is there too.
     """
     d = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_bytes(text_col).alias("t"))
-    pairs = d.mapInArrow(_pairs(longest), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    sent = docs.sparkSession.sparkContext.broadcast(bit_table(pairs.select("h"), bits))
+    # nearly all hashes of a task are distinct already, so they are dealt before they are summed
+    often = d.mapInArrow(_prefixes(longest), "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(often.select("h"), bits))
     words = [f"w{k + 1}" for k in range(longest)]
     windows = d.mapInArrow(_windows(longest, sent), "lang string, " + ", ".join(f"{w} string" for w in words) + ", n long")
     # a column that is rolled up is null, one that is padded is empty
-    sums = windows.rollup("lang", *words).agg(F.sum("n").alias("f")).where((F.col("f") >= min_count) & F.col("lang").isNotNull())
+    names = ", ".join(words)
+    sums = docs.sparkSession.sql(f"SELECT lang, {names}, sum(n) AS f FROM {{windows}} GROUP BY lang, ROLLUP({names}) HAVING sum(n) >= {int(min_count)}", windows=windows)
     phrase = F.array_compact(F.array(*words))
     return sums.where(~F.array_contains(phrase, "")).select("lang", phrase.alias("words"), "f")
 
