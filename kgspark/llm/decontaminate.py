@@ -5,7 +5,8 @@ streamed through it; at each word the automaton's state tells the longest match
 at least `window` words (or of a whole item, if that is shorter) marks its words as hit.
 
 Items are dealt into blocks of bounded size. A block's automaton is built once, by one task, and frozen into
-sorted arrays; the documents pass through the blocks one after another, so that a task holds one automaton.
+sorted arrays. As many automata as fit a number of bytes go to the tasks together, so the documents pass once for
+each such load, and once in all for items of some 15 MB.
 
 Before the automaton, runs of words are tested by their neighbours: a window can only lie where every two
 neighbouring words are neighbours in some item too. This drops nearly all text at array speed and no window.
@@ -200,6 +201,32 @@ class ItemAutomaton:
         return _merged(found), {self.names[i] for i in items if i >= 0}
 
 
+class ItemAutomata:
+    """The automata of some blocks; what any of them finds is found."""
+
+    def __init__(self, frozen: list[bytes], window: int = 10):
+        self.each = [ItemAutomaton(f, window) for f in frozen]
+
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        found = [a.hits(words) for a in self.each]
+        if len(found) == 1:
+            return found[0]
+        return _merged(r for ranges, _ in found for r in ranges), {x for _, names in found for x in names}
+
+
+def loads(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Blocks in loads of at most `most` bytes together, or of one block that has more."""
+    out: list[list[int]] = []
+    full = 0
+    for block, size in sorted(sizes.items()):
+        if not out or full + size > most:
+            out.append([])
+            full = 0
+        out[-1].append(block)
+        full += size
+    return out
+
+
 def _merged(ranges) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -250,12 +277,12 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block
     return stored(d.groupBy("block").applyInArrow(freeze, "block int, frozen binary"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 500_000, keep: list[str] | None = None, cut_limit: float | None = None) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 500_000, load_bytes: int = 1 << 27, keep: list[str] | None = None, cut_limit: float | None = None) -> DataFrame:
     """`(id_col, *keep, n_words, n_hit, items)` for every row of `docs`; items are the names found, sorted.
 
-    The automata travel to the tasks one block at a time: the driver never holds more than one. With one block the
-    documents pass once, without a shuffle. With more, each pass keeps what it finds by a hash of the text (128 bits),
-    and a last join brings the finds together. Null and empty texts have no words; an empty item table hits nothing;
+    The automata travel to the tasks in loads of about `load_bytes` (a block of 500,000 words has 26 MB): neither the
+    driver nor a task holds more. With one load the documents pass once, without a shuffle. With more, each pass keeps
+    what it finds by a hash of the text (128 bits), and a last join brings the finds together. Null and empty texts have no words; an empty item table hits nothing;
     items without an id hit but are not named; repeated rows are judged alike. With `cut_limit` two columns follow:
     `clean`, the text without its hit spans, and `drop`, whether more than that share of the words is hit.
     """
@@ -279,7 +306,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         def run(batches):
             sam = None
             for b in batches:
-                sam = sam or ItemAutomaton(sent.value, window)
+                sam = sam or ItemAutomata(sent.value, window)
                 texts = b.column(lead).to_pylist()
                 words = [words_of(t) for t in texts]
                 found = [sam.hits(w) for w in words]
@@ -289,7 +316,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     def search(sent):
         def run(batches):
-            sam = ItemAutomaton(sent.value, window)
+            sam = ItemAutomata(sent.value, window)
             for b in batches:
                 keys, ranges, names = [], [], []
                 for t in b.column(0).to_pylist():
@@ -313,21 +340,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*b.columns[:lead], *columns(texts, [len(words_of(t)) for t in texts], ranges, [x or [] for x in b.column(lead + 2).to_pylist()])], names=out)
 
     frozen = item_blocks(items, item_id, item_text, window, block_words)
-    blocks = [r["block"] for r in frozen.select("block").collect()]
-    one = lambda k: sc.broadcast(bytes(frozen.where(F.col("block") == k).first()["frozen"]))
-    if len(blocks) <= 1:
-        sent = one(blocks[0]) if blocks else sc.broadcast(build([], window))
+    every = loads({r["block"]: r["n"] for r in frozen.select("block", F.octet_length("frozen").alias("n")).collect()}, load_bytes)
+    load = lambda ks: sc.broadcast([bytes(r["frozen"]) for r in frozen.where(F.col("block").isin(ks)).select("frozen").toLocalIterator()])
+    if len(every) <= 1:
+        sent = load(every[0]) if every else sc.broadcast([build([], window)])
         d = df.mapInArrow(judge(sent), f"{kinds}, {more}")
     else:
         passes = []
-        for k in blocks:
-            sent = one(k)
+        for ks in every:
+            sent = load(ks)
             passes.append(stored(df.select("leak_text").mapInArrow(search(sent), "key binary, ranges array<int>, names array<string>").dropDuplicates(["key"])))
             sent.unpersist()
-        every = passes[0]
+        finds = passes[0]
         for p in passes[1:]:
-            every = every.unionByName(p)
-        every = every.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
-        d = join_few(df.mapInArrow(digest, f"{kinds}, leak_text binary, key binary"), every, ["key"], "leak_id", 8).drop("key")
+            finds = finds.unionByName(p)
+        finds = finds.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+        d = join_few(df.mapInArrow(digest, f"{kinds}, leak_text binary, key binary"), finds, ["key"], "leak_id", 8).drop("key")
         d = d.select(*df.columns, "ranges", "names").mapInArrow(finish, f"{kinds}, {more}")
     return d.withColumnsRenamed({"leak_id": id_col, **{f"keep_{c}": c for c in keep}})

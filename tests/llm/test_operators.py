@@ -678,3 +678,17 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
     assert mixing.mix(docs.unionByName(docs)).count() == 2 * len(TEXTS)
     assert {r.copies for r in mixing.mix(spark.createDataFrame([(1, None, "s"), (2, "", None)], df.schema)).collect()} == {0}
+
+
+def test_leaks_in_loads_of_automata(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 25)))) for i in range(60)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(60)) + " " + items[i % 60][1] + " x " + items[(7 * i) % 60][1]) for i in range(80)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    want = {i: brute_leaks(t, [(str(k), x) for k, x in items]) for i, t in texts}
+    for most in (1, 50_000_000, 1 << 27):  # a load for each block, some loads, one
+        got = rows(decontaminate.leaks(docs, bench, block_words=60, load_bytes=most))
+        assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in got.items()} == want
+    assert decontaminate.loads({0: 5, 1: 5, 2: 20, 3: 1}, 10) == [[0, 1], [2], [3]]
+    assert decontaminate.loads({}, 10) == []
