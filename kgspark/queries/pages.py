@@ -93,11 +93,14 @@ def b8_ui_image(spark, sf):
     return d.select("page_id", x.is_ui_image(F.col("title"), F.col("url"), F.lit(None).cast("string"), F.length("title"), F.length("url")).alias("ui"))
 
 
-@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1234 WHEN 1 THEN 77 ELSE nullif(len(regexp_extract_all({CLEAN}, '<li>')), 0) END AS n FROM pages")
+@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1000 * page_id + 7 WHEN 1 THEN length(url) ELSE nullif(len(regexp_extract_all({CLEAN}, '<li>')), 0) END AS n FROM pages")
 def b9_count_with_fallback(spark, sf):
+    """Each page says a number of photos of its own, or is one of as many as its url has characters, or only has its items."""
     k = F.col("page_id") % 3
-    html = F.concat(F.when(k == 0, "<p>1,234 Photos</p>").when(k == 1, "<b>page 2 of 77</b>").otherwise(""), x.clean(F.when(k == 2, F.col("html"))))
-    return frame(spark, sf, "pages").select("page_id", x.count_with_fallback(F.regexp_replace(html, r"(?i)\bof\b(?!\s+77)", "o"), "<li>").alias("n"))
+    photos = F.concat(F.lit("<p>"), F.format_number(1000 * F.col("page_id") + 7, 0), F.lit(" Photos</p>"))
+    of = F.concat(F.lit("<b>page 2 of "), F.length("url").cast("string"), F.lit("</b>"))
+    body = F.regexp_replace(x.clean(F.col("html")), r"(?i)\bof\b|photos?\b", "o")
+    return frame(spark, sf, "pages").select("page_id", x.count_with_fallback(F.concat(F.when(k == 0, photos).when(k == 1, of).otherwise(""), body), "<li>").alias("n"))
 
 
 @query(with_("E") + "SELECT id, slug, array_to_string(formats, ',') AS formats, views FROM E")
