@@ -102,7 +102,8 @@ def learn(stats: DataFrame, max_rules: int = 8, max_conditions: int = 3, precisi
 
     A hash of the id deals a third of the rows to pruning; rules grow on the others. A rule is kept while on the
     pruning rows at least `precision` of what it covers is unwanted, and it covers a third of `least` unwanted rows
-    there. Of several conditions on the same side of one statistic only the tightest stays. Without rows of both
+    there. Of several conditions on the same side of one statistic only the tightest stays. Of conditions with equal
+    gain the first in the order of the statistics and of their thresholds is taken. Without rows of both
     classes, or with too few for a rule to show its worth, the list is empty.
     """
     names = list(FEATURES)

@@ -146,7 +146,10 @@ def length_class(size: Column) -> Column:
 
 
 def natural(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`(token)`: the letters of every whole text without its long tokens, cut into stretches one after another, of each length class in turn."""
+    """`(token)`: the letters of every whole text without its long tokens, cut into stretches one after another, of each length class in turn.
+
+    The last letters of a text, too few for the next stretch, are no stretch: at most that many of a text are not counted.
+    """
     sizes = [low + 2 for low in LENGTHS]
     letters = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), TOKEN, ""), "[^A-Za-z]+", "")
     # first into pieces that hold one stretch of each length, since places inside a long string are found by walking it
