@@ -42,10 +42,17 @@ def bounded_labels(labels: DataFrame, label: str, bound: int, id_col: str = "doc
     return one.where(F.pmod(F.xxhash64("sample_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`sample_id, y, text` of the documents in a bounded sample; the sample's size is known, so it is broadcast."""
-    d = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))
-    return d.join(F.broadcast(sample), "sample_id")
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, chars: int | None = None) -> DataFrame:
+    """`sample_id, y, text` of the documents in a bounded sample; the sample's size is known, so it is broadcast.
+
+    With `chars` the texts are bounded too: where they have more characters together, fewer ids are taken, by another
+    hash, so that about as many remain. What is gathered of them on the driver is then bounded whatever their length.
+    """
+    d = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "sample_id")
+    n = (d.agg(F.sum(F.length("text"))).first()[0] or 0) if chars is not None else 0
+    if chars is None or n <= chars:
+        return d
+    return d.where(F.pmod(F.xxhash64("sample_id", F.lit(13)), F.lit(1_000_000)) < int(1_000_000 * chars / n))
 
 
 def crc_fold(id_col: str = "doc_id", folds: int = 5) -> Column:

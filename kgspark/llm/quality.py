@@ -25,23 +25,23 @@ class QualityModel:
 
 
 def dual_coordinate_descent(y, rows: list[np.ndarray], values: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 5) -> np.ndarray:
-    """Weights of a squared-hinge linear model; y is -1 or 1, a row is its columns, a column's entries are all its value; the last weight is the bias."""
+    """Weights of a linear model with hinge loss; y is -1 or 1, a row is its columns, a column's entries are all its value; the last weight is the bias."""
     n, m = len(y), len(values)
     w, alpha = np.zeros(m + 1), np.zeros(n)
     # both classes get the same total cost
     cost = np.where(y > 0, c * n / (2 * max(1, (y > 0).sum())), c * n / (2 * max(1, (y < 0).sum())))
     square = values * values
-    norm = np.array([square[r].sum() + 1 for r in rows]) + 0.5 / cost
+    norm = np.array([square[r].sum() + 1 for r in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(n):
             v = values[rows[i]]
-            g = y[i] * (v @ w[rows[i]] + w[m]) - 1 + alpha[i] * 0.5 / cost[i]
-            step = min(g, 0.0) if alpha[i] == 0 else g
+            g = y[i] * (v @ w[rows[i]] + w[m]) - 1
+            step = min(g, 0.0) if alpha[i] == 0 else max(g, 0.0) if alpha[i] == cost[i] else g
             if step:
                 most = max(most, abs(step))
-                old, alpha[i] = alpha[i], max(alpha[i] - g / norm[i], 0.0)
+                old, alpha[i] = alpha[i], min(max(alpha[i] - g / norm[i], 0.0), cost[i])
                 move = (alpha[i] - old) * y[i]
                 w[rows[i]] += move * v
                 w[m] += move
@@ -67,15 +67,16 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(ab[0], 1e-6)), float(ab[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", train_on: Column | None = None, bound: int = 10_000, min_docs: int = 5, smooth: float = 1.0) -> QualityModel:
-    """Fit on at most about `bound` labelled texts (a hash of the id chooses; `train_on` filters labels first).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", train_on: Column | None = None, bound: int = 10_000, chars: int = 40_000_000, min_docs: int = 5, smooth: float = 1.0) -> QualityModel:
+    """Fit on at most about `bound` labelled texts of about `chars` characters together (a hash of the id chooses;
+    `train_on` filters labels first).
 
     Grams in fewer than `min_docs` of them are left out, all others are used. Without both classes the model scores
     0.5 everywhere. Of the texts only the grams are used: no other column, and no label of a row outside the sample.
     Repeated rows of an id count as often as they occur.
     """
     sample = bounded_labels(labels.where(train_on) if train_on is not None else labels, label, bound, id_col)
-    texts = labelled_texts(docs, sample, id_col, text_col).withColumn("y", (F.col("y") > 0).cast("int"))
+    texts = labelled_texts(docs, sample, id_col, text_col, chars).withColumn("y", (F.col("y") > 0).cast("int"))
     index, n0, n1 = known_grams(class_counts(texts, shape_and_word_grams, 2).where(F.col("n0") + F.col("n1") >= min_docs))
     y, start, cols = sparse_rows(texts, shape_and_word_grams, index)
     if len(np.unique(y)) < 2:
@@ -104,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, *more) -> DataFrame:
     """`(id_col, *more, score, predicted)` for every row.
 
-    Null and empty texts are scored as texts without words; repeated rows are scored alike; an empty table gives an
-    empty one. Columns of `docs` that are not named are not read.
+    Null and empty texts are scored as texts without words, very long ones whole; repeated rows are scored alike; an
+    empty table gives an empty one. Columns of `docs` that are not named are not read.
     """
 
     def finish(sums: np.ndarray):

@@ -55,8 +55,8 @@ def fit_cumulative_link(y, start, cols, features: int, grades: int, l2: float =
     return w, gap[0] + np.concatenate([[0.0], np.cumsum(np.exp(gap[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: str = "toxic", train_on: Column | None = None, bound: int = 20_000, min_docs: int = 3, z: float = 4.5) -> OrdinalModel:
-    """Fit on at most about `bound` graded texts, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade: str = "toxic", train_on: Column | None = None, bound: int = 20_000, chars: int = 200_000_000, min_docs: int = 3, z: float = 4.5) -> OrdinalModel:
+    """Fit on at most about `bound` graded texts of about `chars` characters together, chosen by a hash of the id.
 
     `grade` counts from 0 (harmless). Where it holds only 0 and 1, grade 1 is divided: a text with more
     than the median number of marker words (those at least e^2 times likelier in grade 1) gets grade 2.
@@ -66,7 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learned. Repeated rows of an id count as often as they occur; null, empty and very long texts are counted whole.
     """
     sample = bounded_labels(labels.where(train_on) if train_on is not None else labels, grade, bound, id_col)
-    texts = labelled_texts(docs, sample, id_col, text_col)
+    texts = labelled_texts(docs, sample, id_col, text_col, chars)
     sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     none = np.empty(0, np.uint64), np.empty(0)
     if len(sizes) < 2 or 0 not in sizes:
