@@ -41,10 +41,10 @@ def dealt(df: DataFrame, group: str | None, order: Sequence) -> DataFrame:
     return stored(d.withColumn("part_", F.shiftright("mid_", 33)).withColumn("in_", F.col("mid_").bitwiseAND(F.lit((1 << 33) - 1))).drop("mid_"))
 
 
-def _earlier(sums: DataFrame, group: str | None, value: str, out: str) -> DataFrame:
-    """For each range (of each group) the sum over the ranges before it; the table has one row for each."""
-    w = (W.partitionBy(group) if group else W.partitionBy(F.lit(0))).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
-    return sums.select("part_", *([F.col(group).alias("g_")] if group else []), F.coalesce(F.sum(value).over(w), F.lit(0)).alias(out))
+def _earlier(sums: DataFrame, value: str, out: str) -> DataFrame:
+    """For each range the sum over the ranges before it; the table has one row for each."""
+    w = W.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    return sums.select("part_", F.coalesce(F.sum(value).over(w), F.lit(0)).alias(out))
 
 
 def numbered(df: DataFrame, order: Sequence, out: str = "place") -> DataFrame:
@@ -54,21 +54,24 @@ def numbered(df: DataFrame, order: Sequence, out: str = "place") -> DataFrame:
     it, whose counts are a table with one row per range. No task sees all rows.
     """
     d = dealt(df, None, order)
-    before = _earlier(d.groupBy("part_").agg(F.count("*").alias("n_")), None, "n_", "base_")
+    before = _earlier(d.groupBy("part_").agg(F.count("*").alias("n_")), "n_", "base_")
     return d.join(F.broadcast(before), "part_").withColumn(out, (F.col("base_") + F.col("in_") + 1).cast("long")).drop("part_", "in_", "base_")
 
 
 def running(df: DataFrame, group: str, order: Sequence, value: Column, out: str) -> DataFrame:
     """Sum of `value` over a group's rows up to each row, in order. A group of very many rows lies in many ranges.
 
-    A window runs inside each range of a group only; the sums of the ranges before it are added.
+    A window runs inside each range of a group only; the sums of the ranges before it are added. Null values add nothing.
     """
     d = dealt(df.withColumn("v_", value), group, order)
-    before = _earlier(d.groupBy(group, "part_").agg(F.sum("v_").alias("n_")), group, "n_", "base_")
+    sums = d.groupBy(F.col(group).alias("g_"), F.col("part_").alias("p_")).agg(F.sum("v_").alias("n_"))
+    w = W.partitionBy("g_").orderBy("p_").rowsBetween(W.unboundedPreceding, -1)
+    # the ranges are sorted by group, so at most one group of a range goes on from the one before: one row for each range
+    before = F.broadcast(sums.select("g_", "p_", F.sum("n_").over(w).alias("base_")).where("base_ IS NOT NULL"))
     inside = W.partitionBy(group, "part_").orderBy("in_").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("sum_", F.sum("v_").over(inside)).withColumnRenamed("part_", "p_")
-    j = d.join(before, d[group].eqNullSafe(before["g_"]) & (F.col("p_") == before["part_"]))
-    return j.withColumn(out, F.col("base_") + F.col("sum_")).drop("v_", "sum_", "p_", "part_", "in_", "base_", "g_")
+    d = d.withColumn("sum_", F.sum("v_").over(inside))
+    j = d.join(before, d[group].eqNullSafe(before["g_"]) & (d["part_"] == before["p_"]), "left")
+    return j.withColumn(out, F.coalesce("base_", F.lit(0)) + F.coalesce("sum_", F.lit(0))).drop("v_", "sum_", "p_", "part_", "in_", "base_", "g_")
 
 
 def running_stack(df: DataFrame, group: str, value: str, *ties: str) -> DataFrame:

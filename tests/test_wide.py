@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark.operators import order as w
 from kgspark.operators import vectors as v
 from kgspark.plans import reports
 from kgspark.plans.triples import TRIPLE
@@ -143,3 +144,21 @@ def test_only_files_of_enough_bytes_are_opened(spark, tmp_path):
     d = files.read_contents(spark, str(tmp_path), "*.gif", least=3)
     assert [(r.path.rsplit("/", 1)[1], bytes(r.content)) for r in d.collect()] == [("a.gif", b"GIF89a")]
     assert "length" in d._jdf.queryExecution().executedPlan().toString().partition("PushedFilters")[2]
+
+
+def test_running_sums_and_grids_of_groups_over_many_ranges(spark, many_ranges):
+    rng = random.Random(12)
+    rows = [(rng.choice(["big"] * 6 + ["a", "z", None]), rng.choice([None, 1, 2, 7]), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, v long, i long").repartition(5)
+    got = w.running(df, "g", ["i"], F.col("v"), "sum").collect()
+    total = {}
+    for g, x, i in sorted(rows, key=lambda r: r[2]):
+        total[g] = total.get(g, 0) + (x or 0)
+        assert next(r["sum"] for r in got if r.i == i) == total[g]
+    assert w.dealt(df, "g", ["i"]).where("g = 'big'").select("part_").distinct().count() > 1
+    cells = {r.i: (r.grid_col, r.grid_row) for r in w.grid(df, "g", ["i"], 4).collect()}
+    base = 0
+    for g in (None, "a", "big", "z"):
+        own = sorted(r[2] for r in rows if r[0] == g)
+        assert all(cells[i] == (base + k // 4, k % 4) for k, i in enumerate(own))
+        base += -(-len(own) // 4)
