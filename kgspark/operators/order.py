@@ -12,10 +12,15 @@ from ..storage import stored
 
 
 def reindex(df: DataFrame, group: str, order: Sequence[str], out: str = "new_idx") -> DataFrame:
-    """Rows of a group numbered from 1 in order."""
+    """Rows of a group numbered from 1 in order. One task sorts a group, by spilling to disk if it must."""
     return df.withColumn(out, F.row_number().over(W.partitionBy(group).orderBy(*order)))
 
 
+def reindex_wide(df: DataFrame, group: str, order: Sequence[str], out: str = "new_idx") -> DataFrame:
+    """W1 where one group may hold a great part of all rows: its ranges are numbered by many tasks, at the price of a stored sort."""
+    return running(df, group, order, F.lit(1).cast("long"), out)
+
+
 def ordinal(c: Column, values: Sequence[str]) -> Column:
     """Place in a list from 1; what is not listed (null too) is 0 and so sorts first."""
     return F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), c), F.lit(0)).cast("int")

@@ -236,6 +236,11 @@ def w1_reindex(spark, sf):
     return w.reindex(frame(spark, sf, "V").where("dimension <> 'A'"), "parent", ["idx", "part", "price"]).select("parent", "idx", "part", F.col("new_idx").cast("long").alias("new_idx"))
 
 
+@query(with_("V") + "SELECT parent, idx, part, row_number() OVER (PARTITION BY parent ORDER BY idx, part, price) AS new_idx FROM V WHERE dimension <> 'A'")
+def w1_reindex_wide(spark, sf):
+    return w.reindex_wide(frame(spark, sf, "V").where("dimension <> 'A'"), "parent", ["idx", "part", "price"]).select("parent", "idx", "part", F.col("new_idx").cast("long").alias("new_idx"))
+
+
 @query(with_("V") + "SELECT parent, idx, part, row_number() OVER (PARTITION BY parent ORDER BY CASE dimension WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 0 END, idx, part, price) AS place FROM V")
 def w2_ordinal(spark, sf):
     return w.reindex(frame(spark, sf, "V"), "parent", [w.ordinal(F.col("dimension"), ["R", "N"]), "idx", "part", "price"], "place").select("parent", "idx", "part", F.col("place").cast("long").alias("place"))
