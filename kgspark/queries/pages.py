@@ -159,10 +159,9 @@ def a6_first_that_exists(spark, sf):
 @query(with_("V") + "SELECT parent, idx, part, dimension AS folder FROM V")
 def a4_folders_round_trip(spark, sf):
     path = scratch(spark, "folders")
-    v = frame(spark, sf, "V")
-    for kind in ("A", "N", "R"):
-        v.where(F.col("dimension") == kind).select("parent", "idx", "part").write.json(f"{path}/{kind}")
-    return files.read_partitioned_folders(spark, path, "parent long, idx int, part long").select("parent", "idx", "part", "folder")
+    files.write_folders(frame(spark, sf, "V").select("parent", "idx", "part", "dimension"), path, "dimension")
+    named = files.read_partitioned_folders(spark, path, "parent long, idx int, part long")
+    return named.select("parent", "idx", "part", F.regexp_extract("folder", "=(.*)$", 1).alias("folder"))
 
 
 @query(with_("O") + "SELECT id, yr, platform FROM O")

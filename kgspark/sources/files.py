@@ -36,6 +36,16 @@ def read_partitioned_folders(spark: SparkSession, root: str, schema: str, name:
     return d.withColumn(folder, F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)))
 
 
+def write_folders(df: DataFrame, root: str, folder: str) -> None:
+    """A4: rows as JSON in one sub-folder for each value of a column, `<column>=<value>`; a null value has a folder too."""
+    df.write.mode("overwrite").partitionBy(folder).json(root)
+
+
+def read_folders(spark: SparkSession, root: str, schema: str, folder: str) -> DataFrame:
+    """A4: what `write_folders` wrote, with the folder's value as text."""
+    return spark.read.schema(f"{schema}, `{folder}` string").json(root)
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*", numbered: str = r"_(\d+)\.[^/]*$") -> DataFrame:
     """A5: `(path, length, file_id)` of files; the id is what `numbered` finds in the path, by default the number after the last underscore. Contents are not read."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root).select("path", "length")

@@ -162,3 +162,11 @@ def test_running_sums_and_grids_of_groups_over_many_ranges(spark, many_ranges):
         own = sorted(r[2] for r in rows if r[0] == g)
         assert all(cells[i] == (base + k // 4, k % 4) for k, i in enumerate(own))
         base += -(-len(own) // 4)
+
+
+def test_folders_by_value_keep_null_and_odd_values(spark, tmp_path):
+    rows = [(1, "a"), (2, "a b/c=d"), (3, None), (4, "é"), (5, "a")]
+    d = spark.createDataFrame(rows, "id long, kind string")
+    files.write_folders(d, str(tmp_path / "f"), "kind")
+    assert sorted(map(tuple, files.read_folders(spark, str(tmp_path / "f"), "id long", "kind").collect())) == rows
+    assert len([p for p in (tmp_path / "f").iterdir() if p.is_dir()]) == 4
