@@ -19,6 +19,7 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = np.array([c in b"aA0" for c in range(256)])
 _SLOTS = 1 << 22  #: of the table that tells most unknown grams at once
+_PART = 1 << 19  #: bytes of text whose grams are held together
 
 
 def plain_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +64,7 @@ def class_counts(texts: DataFrame, grams, classes: int) -> DataFrame:
     def run(batches):
         for b in batches:
             y, t = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for x, z in portions(t):
+            for x, z in portions(t, _PART):
                 h, at = grams(t[x:z])
                 order = np.lexsort((at, h))
                 h, at = h[order], at[order]
@@ -116,7 +117,7 @@ def sparse_rows(texts: DataFrame, grams, index: np.ndarray) -> tuple[np.ndarray,
         known = Index(sent.value)
         for b in batches:
             t = b.column(2).to_pylist()
-            for x, z in portions(t):
+            for x, z in portions(t, _PART):
                 at, cols = known.columns(*grams(t[x:z]))
                 stop = np.searchsorted(at, np.arange(z - x + 1))
                 rows = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(cols.astype(np.int32)))
@@ -144,7 +145,7 @@ def scored(docs: DataFrame, id_col: str, text_col: str, grams, weights: tuple[np
         for b in batches:
             t = b.column(b.num_columns - 1).to_pylist()
             sums = np.zeros(len(t))
-            for x, z in portions(t):
+            for x, z in portions(t, _PART):
                 at, cols = known.columns(*grams(t[x:z]))
                 sums[x:z] = np.bincount(at, w[cols], z - x)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(x) for x in finish(sums)]], names=names)
