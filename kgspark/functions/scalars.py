@@ -230,16 +230,20 @@ def rewrite_namespace(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
-def rgb_to_hsl(r: Column, g: Column, b: Column) -> Column:
-    """struct(h degrees, s %, l %) of mean channels 0 to 255, to one decimal; null channels give zeros."""
+def rgb_to_hsl(r: Column, g: Column, b: Column, zeros: bool = True) -> Column:
+    """struct(h degrees, s %, l %) of mean channels 0 to 255, to one decimal; null channels give zeros.
+
+    Without `zeros` a null channel leaves s and l to the others, and h is null unless they are equal. Numbers are rounded
+    after they were multiplied by ten, as SQL engines do it: 31.049999999999997 gives 310.5 and so 31.1.
+    """
     x, y, z = r / 255, g / 255, b / 255
     hi, lo = F.greatest(x, y, z), F.least(x, y, z)
     d, light = hi - lo, (hi + lo) / 2
     s = F.when(d == 0, 0.0).otherwise(d / F.when(light <= 0.5, hi + lo).otherwise(2 - hi - lo))
     sixth = F.when(x == hi, (y - z) / d).when(y == hi, 2 + (z - x) / d).otherwise(4 + (x - y) / d)
     h = F.when(d == 0, 0.0).otherwise(F.pmod(sixth / 6, F.lit(1.0)))
-    off = r.isNull() | g.isNull() | b.isNull()
-    part = lambda v, k: F.when(off, 0.0).otherwise(F.round(v * k, 1))
+    off = (r.isNull() | g.isNull() | b.isNull()) & F.lit(zeros)
+    part = lambda v, k: F.when(off, 0.0).otherwise(F.round(v * k * 10) / 10)
     return F.struct(part(h, 360).alias("h"), part(s, 100).alias("s"), part(light, 100).alias("l"))
 
 

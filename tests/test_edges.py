@@ -58,6 +58,14 @@ def test_scalars(spark):
     assert [tuple(q) for q in ev(rgb, c.rgb_to_hsl(F.col("r"), F.col("g"), F.col("b")))] == [(0.0, 100.0, 50.0), (0.0, 0.0, 3.9), (0.0, 0.0, 0.0), (240.0, 100.0, 50.0)]
 
 
+def test_hsl_rounds_as_sql_does_and_can_leave_nulls(spark):
+    rows = [(0, 451 / 2, 258 / 2, 51 / 2), (1, 458 / 3, 267 / 3, 58 / 3), (2, 524 / 5, 477 / 5, 124 / 5), (3, None, 1.0, 3.0), (4, 7.0, None, 7.0), (5, None, None, None)]
+    rgb = spark.createDataFrame(rows, "i int, r double, g double, b double")
+    got = [tuple(q) for q in ev(rgb, c.rgb_to_hsl(F.col("r"), F.col("g"), F.col("b"), zeros=False))]
+    assert [h for h, _, _ in got[:3]] == [31.1, 31.4, 53.0]  # 31.049999999999997 * 10 is 310.5
+    assert got[3:] == [(None, 50.0, 0.8), (0.0, 0.0, 2.7), (None, None, None)]
+
+
 def test_extraction(spark):
     assert ev(col(spark, ["1,234 views", "1.5", "no digits", None]), x.parse_count(F.col("x"))) == [1234, 15, None, None]
     html = '<script>var a="<p>no</p>"</script><h2>About</h2><!-- <p>no</p> --><p class="z">Yes <b>this</b>\n one</p><p>two</p>'
