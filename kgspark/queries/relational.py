@@ -196,8 +196,8 @@ def f14_first_seen(spark, sf):
 
 @query(with_("V") + "SELECT parent, CAST(sum(CASE WHEN dimension IS DISTINCT FROM f THEN 1 ELSE 0 END) AS BIGINT) AS n_different FROM (SELECT parent, nullif(dimension, 'A') AS dimension, first_value(nullif(dimension, 'A')) OVER (PARTITION BY parent ORDER BY idx, part) AS f FROM V) GROUP BY parent")
 def f15_differs(spark, sf):
-    v = frame(spark, sf, "V").withColumn("dimension", F.nullif("dimension", F.lit("A"))).withColumn("at", F.struct("idx", "part"))
-    return a.differs_from_reference(v, "parent", "at", "dimension")
+    v = frame(spark, sf, "V").withColumn("dimension", F.nullif("dimension", F.lit("A")))
+    return a.differs_from_reference(v, "parent", ["idx", "part"], "dimension")
 
 
 @query("SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id")

@@ -226,6 +226,14 @@ def test_groups_over_many_ranges(spark):
         assert odd[g] == sum((r[1] % 3) != (own[0][1] % 3) for r in own)
 
 
+def test_the_first_row_is_one_with_an_order_and_ties_are_settled(spark):
+    rows = [("nulls", None, 1, "x"), ("nulls", 1, None, "x"), ("nulls", 1, 2, "y"), ("nulls", 2, 0, "x"), ("only", None, None, "x"), ("only", None, 3, "y")]
+    rows += [("tie", 1, 1, "b"), ("tie", 1, 1, None), ("tie", 1, 1, "b"), ("two", 1, 1, "b"), ("two", 1, 1, "a"), ("two", 1, 1, "b"), ("two", 2, 0, None)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "g string, i int, j int, v string").repartition(3)
+        assert {r.g: r.n_different for r in a.differs_from_reference(df, "g", ["i", "j"], "v").collect()} == {"nulls": 3, "only": 1, "tie": 2, "two": 3}
+
+
 def test_storage_is_shared_and_can_be_dropped(spark):
     path = storage.scratch(spark, "x")
     assert path.startswith(spark.sparkContext.getCheckpointDir())
